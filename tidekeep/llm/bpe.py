@@ -111,40 +111,20 @@ def matches(block: Block) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.searchsorted(starts, block.offsets)
 
 
-class ByteBPE:
-    """A vocabulary of byte strings whose rank is their id."""
-
-    def __init__(self, ranks: dict[bytes, int]) -> None:
-        self.size = max(ranks.values()) + 1
-        self.tokens = [b""] * self.size
-        for token, rank in ranks.items():
-            self.tokens[rank] = token
-        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        self.lengths = np.array([len(t) for t in self.tokens], np.int64)
-        self.joined = np.frombuffer(b"".join(self.tokens), np.uint8)
-        self.begin = np.cumsum(self.lengths) - self.lengths
-        left, right, merged = [], [], []
-        for token, rank in ranks.items():
-            for k in range(1, len(token)):
-                a, b = ranks.get(token[:k]), ranks.get(token[k:])
-                if a is not None and b is not None:
-                    left.append(a), right.append(b), merged.append(rank)
-        self._build(np.array(left, np.int64) << 32 | np.array(right, np.int64), np.array(merged, np.int32))
-        hashed = SpanHasher(_codes(self.joined))(self.begin, self.begin + self.lengths)
-        order = np.argsort(hashed)
-        self.whole_hash, self.whole_id = hashed[order], order.astype(np.int32)
-
-    @classmethod
-    def from_file(cls, path: str) -> ByteBPE:
-        """A .tiktoken file: one base64 token and its rank a line."""
-        with open(path, "rb") as f:
-            return cls({base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())})
+class HashTable:
+    """Open addressing with linear probing from non-negative 64-bit keys to 32-bit values, in numpy."""
 
-    def _build(self, keys: np.ndarray, values: np.ndarray) -> None:
-        """Open addressing with linear probing; built by rounds, in each of which the free slots take one key."""
-        bits = max(10, int(np.ceil(np.log2(len(keys) + 1))) + 3)
+    def __init__(self, room: int) -> None:
+        bits = max(10, int(np.ceil(np.log2(room + 1))) + 2)
         self._shift, self._mask = np.uint64(64 - bits), (1 << bits) - 1
         self._keys, self._values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, NONE, np.int32)
+        self.room, self.filled = room, 0
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self._shift).astype(np.int64)
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Add keys; in each round every free slot takes one of those that want it."""
         slot, todo = self._slot(keys), np.arange(len(keys))
         while len(todo):
             at = slot[todo]
@@ -154,16 +134,15 @@ class ByteBPE:
             self._values[at[won]] = values[todo[won]]
             todo = todo[~won]
             slot[todo] = (slot[todo] + 1) & self._mask
+        self.filled += len(keys)
 
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self._shift).astype(np.int64)
-
-    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Id of the merged pair, NONE where there is none or where right is padding (-1)."""
-        keys = left.astype(np.int64) << 32 | (right.astype(np.int64) & 0xFFFFFFFF)
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """Values of the keys, NONE for those not there."""
         slot = self._slot(keys)
-        out = np.where(self._keys[slot] == keys, self._values[slot], NONE)
-        todo = np.flatnonzero((self._keys[slot] != keys) & (self._keys[slot] >= 0))
+        found = self._keys[slot]
+        hit = found == keys
+        out = np.where(hit, self._values[slot], NONE)
+        todo = np.flatnonzero(~hit & (found >= 0))
         slot = slot[todo]
         while len(todo):
             slot = (slot + 1) & self._mask
@@ -174,7 +153,26 @@ class ByteBPE:
             todo, slot = todo[on], slot[on]
         return out
 
-    def _matrix(self, rows: np.ndarray) -> np.ndarray:
+
+class PairMerger:
+    """Merges rows of symbols; a pair's value is the merged symbol, and less goes first."""
+
+    def __init__(self, symbols: dict) -> None:
+        """symbols: every string (or bytes) of the vocabulary and its rank, which is also its id."""
+        left, right, merged = [], [], []
+        for whole, rank in symbols.items():
+            for k in range(1, len(whole)):
+                a, b = symbols.get(whole[:k]), symbols.get(whole[k:])
+                if a is not None and b is not None:
+                    left.append(a), right.append(b), merged.append(rank)
+        self._pairs = HashTable(len(left))
+        self._pairs.put(np.array(left, np.int64) << 32 | np.array(right, np.int64), np.array(merged, np.int32))
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Id of the merged pair, NONE where there is none or where right is padding (-1)."""
+        return self._pairs.get(left.astype(np.int64) << 32 & 0x7FFFFFFF00000000 | (right.astype(np.int64) & 0xFFFFFFFF))
+
+    def merge_rows(self, rows: np.ndarray) -> np.ndarray:
         """Merge the rows of an (n, width) matrix of ids, padded with -1; result padded alike."""
         n, width = rows.shape
         done = np.full((n, width), -1, np.int32)
@@ -209,7 +207,7 @@ class ByteBPE:
             has = place > 0
             ranks[line[has], place[has] - 1] = self.rank(cells[line[has], place[has] - 1], cells[line[has], place[has]])
 
-    def _alone(self, ids: np.ndarray) -> np.ndarray:
+    def merge_long(self, ids: np.ndarray) -> np.ndarray:
         """One long row.  All occurrences of the least pair merge together unless that makes a pair that should have gone first."""
         ids = ids.astype(np.int32)
         ranks = self.rank(ids[:-1], ids[1:])
@@ -240,6 +238,30 @@ class ByteBPE:
         out = np.concatenate([place, place - 1])
         return out[(out >= 0) & (out < n - 1)]
 
+
+class ByteBPE(PairMerger):
+    """A vocabulary of byte strings whose rank is their id."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.size = max(ranks.values()) + 1
+        self.tokens = [b""] * self.size
+        for token, rank in ranks.items():
+            self.tokens[rank] = token
+        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        self.lengths = np.array([len(t) for t in self.tokens], np.int64)
+        self.joined = np.frombuffer(b"".join(self.tokens), np.uint8)
+        self.begin = np.cumsum(self.lengths) - self.lengths
+        super().__init__(ranks)
+        hashed = SpanHasher(_codes(self.joined))(self.begin, self.begin + self.lengths)
+        order = np.argsort(hashed)
+        self.whole_hash, self.whole_id = hashed[order], order.astype(np.int32)
+
+    @classmethod
+    def from_file(cls, path: str) -> ByteBPE:
+        """A .tiktoken file: one base64 token and its rank a line."""
+        with open(path, "rb") as f:
+            return cls({base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())})
+
     def encode_spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the spans, one after another, and how many each has.  Equal spans are encoded once."""
         if not len(starts):
@@ -276,8 +298,8 @@ class ByteBPE:
             for c in range(a, b, step):
                 rows = short[c : min(b, c + step)]
                 cells = self.byte_ids[data[starts[rows][:, None] + np.arange(int(width[a]))]]
-                parts.append((rows, self._matrix(cells)))
-        parts += [(np.array([r]), self._alone(self.byte_ids[data[starts[r] : ends[r]]])[None, :]) for r in rest[size[rest] > LONG]]
+                parts.append((rows, self.merge_rows(cells)))
+        parts += [(np.array([r]), self.merge_long(self.byte_ids[data[starts[r] : ends[r]]])[None, :]) for r in rest[size[rest] > LONG]]
         for rows, cells in parts:
             count[rows] = (cells >= 0).sum(axis=1)
         begin = np.cumsum(count) - count
