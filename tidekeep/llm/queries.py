@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, quality, token_counts
+from . import bpe, language, media, quality, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_digests(_table(spark, sf_dir, "documents"))
+
+
 def op4_rank_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = language.identify(docs, language.fit(docs))
@@ -36,6 +40,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op3_audio_features": op3_audio_features,
     "op4_rank_order": op4_rank_order,
     "op5_target_ratio": op5_target_ratio,
     "op8_prefix_counts": op8_prefix_counts,
