@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, media, quality, token_counts
+from . import bpe, html_text, language, media, quality, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,10 @@ def op8_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op9_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -44,6 +48,7 @@ QUERIES: dict[str, Query] = {
     "op4_rank_order": op4_rank_order,
     "op5_target_ratio": op5_target_ratio,
     "op8_prefix_counts": op8_prefix_counts,
+    "op9_text_density": op9_text_density,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
