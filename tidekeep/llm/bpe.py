@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -252,6 +254,7 @@ class ByteBPE(PairMerger):
         self.joined = np.frombuffer(b"".join(self.tokens), np.uint8)
         self.begin = np.cumsum(self.lengths) - self.lengths
         super().__init__(ranks)
+        self.added: dict[bytes, int] = {}
         hashed = SpanHasher(_codes(self.joined))(self.begin, self.begin + self.lengths)
         order = np.argsort(hashed)
         self.whole_hash, self.whole_id = hashed[order], order.astype(np.int32)
@@ -262,6 +265,23 @@ class ByteBPE(PairMerger):
         with open(path, "rb") as f:
             return cls({base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())})
 
+    @classmethod
+    def from_json(cls, path: str) -> ByteBPE:
+        """A tokenizers file of a byte-level BPE whose merges are in the order of its ids; its added tokens are cut out of texts."""
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        byte = {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
+        added = {t["content"].encode(): t["id"] for t in spec["added_tokens"]}
+        ranks = {bytes(byte[c] for c in token): k for token, k in spec["model"]["vocab"].items() if token.encode() not in added}
+        merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
+        order = [spec["model"]["vocab"][a + b] for a, b in merges]
+        if order != sorted(order) or spec["normalizer"] or spec["model"]["ignore_merges"] or not spec["pre_tokenizer"]["use_regex"] or spec["pre_tokenizer"]["add_prefix_space"]:
+            raise ValueError("not a byte-level BPE with merges in the order of ids")
+        own = cls(ranks)
+        own.added = added
+        return own
+
     def encode_spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the spans, one after another, and how many each has.  Equal spans are encoded once."""
         if not len(starts):
@@ -318,6 +338,29 @@ class ByteBPE(PairMerger):
         np.cumsum(count, out=bounds[1:])
         return ids, bounds[first]
 
+    def encode_with_added(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
+        """As encode_block, but an added token's string in a text becomes that token (the earliest first, of those the longest)."""
+        if not self.added:
+            return self.encode_block(block)
+        pattern = re.compile(b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True))))
+        raw = block.data.tobytes()
+        at = []
+        if pattern.search(raw):  # else there is none in any document
+            cuts = block.offsets.tolist()
+            at = [(m.start() + a, m.end() + a, self.added[m[0]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True) for m in pattern.finditer(raw[a:b])]
+        if not at:
+            return self.encode_block(block)
+        starts, ends, tokens = (np.array(x) for x in zip(*at, strict=True))
+        edges = np.unique(np.concatenate([block.offsets, starts, ends]))
+        ids, bounds = self.encode_block(Block(block.data, edges, block.first))
+        k = np.searchsorted(edges, starts)
+        keep = np.ones(len(ids), bool)
+        for a, b in zip(bounds[k].tolist(), bounds[k + 1].tolist(), strict=True):
+            ids[a], keep[a + 1 : b] = -1, False
+        ids[bounds[k]] = tokens
+        left = np.concatenate([[0], np.cumsum(keep)])
+        return ids[keep], left[bounds[np.searchsorted(edges, block.offsets)]]
+
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """The bytes that the ids stand for."""
         size = self.lengths[ids]
@@ -336,7 +379,7 @@ def _codes(data: np.ndarray) -> np.ndarray:
 @lru_cache(4)
 def load(path: str) -> ByteBPE:
     """One vocabulary a process and path."""
-    return ByteBPE.from_file(path)
+    return ByteBPE.from_json(path) if path.endswith(".json") else ByteBPE.from_file(path)
 
 
 def encode(docs: DataFrame, ranks_path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
