@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, language, media, packing, quality, token_counts, url_filters
+from . import bpe, html_text, language, media, ngram_join, packing, quality, token_counts, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def _list_history(pages: DataFrame) -> DataFrame:
     """A list history over the hosts in `pages`, which have none of their own: dates follow from a hash of the host."""
     hosts = pages.select(url_filters.host_of(F.col("url")).alias("host")).where("host <> ''").distinct()
@@ -74,6 +78,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_token_combinations": op1_token_combinations,
     "op2_temporal_list": op2_temporal_list,
     "op3_audio_features": op3_audio_features,
     "op4_rank_order": op4_rank_order,

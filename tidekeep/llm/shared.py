@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,4 +23,8 @@ def checkpoint_folder(spark: SparkSession) -> str:
 def cut(frame: DataFrame) -> DataFrame:
     """The frame, computed once and read back from the shared folder; lost executors don't undo it."""
     checkpoint_folder(frame.sparkSession)
-    return frame.checkpoint()
+    done = frame.checkpoint()
+    # shuffle files of the lineage that was cut go when the driver collects its garbage
+    gc.collect()
+    frame.sparkSession.sparkContext._jvm.System.gc()
+    return done
