@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, language, media, ngram_join, packing, quality, token_counts, url_filters
+from . import bpe, html_text, language, media, ngram_join, packing, quality, substring_dedup, token_counts, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,6 +61,10 @@ def op5_target_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op6_suffix_subtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removal_digests(_table(spark, sf_dir, "documents"))
+
+
 def op7_bulk_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end=2)
 
@@ -83,6 +87,7 @@ QUERIES: dict[str, Query] = {
     "op3_audio_features": op3_audio_features,
     "op4_rank_order": op4_rank_order,
     "op5_target_ratio": op5_target_ratio,
+    "op6_suffix_subtrees": op6_suffix_subtrees,
     "op7_bulk_best_fit": op7_bulk_best_fit,
     "op8_prefix_counts": op8_prefix_counts,
     "op9_text_density": op9_text_density,
