@@ -23,8 +23,7 @@ def checkpoint_folder(spark: SparkSession) -> str:
 def cut(frame: DataFrame) -> DataFrame:
     """The frame, computed once and read back from the shared folder; lost executors don't undo it."""
     checkpoint_folder(frame.sparkSession)
-    done = frame.checkpoint()
-    # shuffle files of the lineage that was cut go when the driver collects its garbage
+    # shuffle files of what was cut before go when the driver collects its garbage; ask for it while nothing runs
     gc.collect()
     frame.sparkSession.sparkContext._jvm.System.gc()
-    return done
+    return frame.checkpoint()
