@@ -2,14 +2,18 @@
 
 Every position that begins a window of `WINDOW` words is a suffix, cut at that depth.  A
 suffix is routed by a prefix of variable length: its words up to the end of the least (by
-hash) run of `ANCHOR` words in its window.  Equal windows have equal prefixes, so a subtree
-never needs suffixes of another group; consecutive suffixes mostly share that run, so they
-travel as one record, which holds for each of them the fingerprint of its node at the
-window's depth.  Records of one run of words form a group.  A group of up to `GROUP` records
-fits in memory: its suffixes are sorted into their subtree, whose internal nodes at full depth
-are the repeats; neighbouring ones join into maximal repeats.  A greater group is split by
-the longest prefix, the whole window: there a node's least document is a plain aggregate,
-summed before the shuffle, whatever the number of copies.
+hash) run of `ANCHOR` words in its window.  Equal windows have the same least run, so a
+subtree never needs suffixes of another group; consecutive suffixes mostly share it, so
+they travel as one record, which holds for each of them the fingerprint of its node at the
+window's depth.
+
+A group's records arrive in the order of their documents.  Suffixes are sorted into their
+subtree, whose internal nodes at full depth are the repeats, and neighbouring ones join
+into maximal repeats.  A task holds a part of a group at a time and, of what went before,
+each node's least document, up to `NODES` of them.  In a group of more distinct nodes, the
+others are split off by the longest prefix, the whole window: there a node's least document
+is a plain aggregate, summed before the shuffle.  Memory is bounded whatever the number of
+copies, and no suffix is left out.
 
 A window goes if its words also start in a document of a smaller id; all windows are judged
 on the input.  Words are runs of bytes other than 0x20 and 0x09-0x0D, unchanged.
@@ -26,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import cut
@@ -34,9 +38,10 @@ from .textbatch import Block, SpanHasher, blocks, windows
 
 WINDOW = 50
 ANCHOR = 10
-GROUP = 8192
-#: Low bits of a packed minimum that hold its word's place in the block.
-_PLACE = 28
+#: Nodes that a task remembers of the group it is in.
+NODES = 1_000_000
+#: Suffixes that are sorted at a time.
+SORTED = 500_000
 
 
 def suffix_runs(block: Block, width: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
@@ -48,19 +53,15 @@ def suffix_runs(block: Block, width: int = WINDOW, anchor: int = ANCHOR) -> tupl
         return none, none, none.astype(np.uint64), np.zeros(1, np.int64), none.astype(np.uint64)
     spans = SpanHasher(block.hasher()(starts, ends))
     grams = np.arange(len(starts) - anchor + 1)
-    codes = spans(grams, grams + anchor)
-    packed = (codes >> np.uint64(_PLACE)) << np.uint64(_PLACE) | grams.astype(np.uint64)
     # the least of each run of `reach` grams; grams across documents are never asked for
-    reach = width - anchor + 1
-    low, size = packed, 1
+    low, size, reach = spans(grams, grams + anchor), 1, width - anchor + 1
     while 2 * size <= reach:
         low, size = np.minimum(low[:-size], low[size:]), 2 * size
-    low = np.minimum(low[: len(low) - (reach - size)], low[reach - size :])
-    where = (low[at] & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
+    code = np.minimum(low[: len(low) - (reach - size)], low[reach - size :])[at]
     new = np.ones(len(at), bool)
-    new[1:] = (where[1:] != where[:-1]) | (doc[1:] != doc[:-1])
+    new[1:] = (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])
     lead = np.flatnonzero(new)
-    return doc[lead], at[lead] - first[doc[lead]], codes[where[lead]], np.append(lead, len(at)), spans(at, at + width)
+    return doc[lead], at[lead] - first[doc[lead]], code[lead], np.append(lead, len(at)), spans(at, at + width)
 
 
 def _records(docs: DataFrame) -> DataFrame:
@@ -77,78 +78,100 @@ def _records(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("doc").isNotNull()).select("doc", "row", "text").mapInArrow(run, "code long, doc long, row long, start long, nodes binary")
 
 
-def subtree_repeats(doc: np.ndarray, nodes: np.ndarray) -> np.ndarray:
-    """Of suffixes given by document and node: which share their node with a lesser document."""
-    order = np.lexsort((doc, nodes))
-    ranked, owner = nodes[order], doc[order]
-    head = np.ones(len(order), bool)
-    head[1:] = ranked[1:] != ranked[:-1]
-    least = owner[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
-    out = np.zeros(len(order), bool)
-    out[order] = owner > least
-    return out
-
-
-def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", group: int = GROUP) -> DataFrame:
+class Subtrees:
+    """Repeats of suffixes that come group by group, in a group by document; one group's nodes are carried on."""
+
+    def __init__(self, limit: int = NODES) -> None:
+        self.limit, self.code, self.full = limit, None, False
+        self.nodes, self.least = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def _carried(self, nodes: np.ndarray) -> np.ndarray:
+        """Place of each node among those carried, -1 if it isn't."""
+        if not len(self.nodes):
+            return np.full(len(nodes), -1)
+        at = np.minimum(np.searchsorted(self.nodes, nodes), len(self.nodes) - 1)
+        return np.where(self.nodes[at] == nodes, at, -1)
+
+    def add(self, code: np.ndarray, doc: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of these suffixes, which repeat one of a lesser document, and which are left to the split."""
+        if not len(code):
+            return np.zeros(0, bool), np.zeros(0, bool)
+        order = np.lexsort((doc, nodes, code))
+        c, d, n = code[order], doc[order], nodes[order]
+        head = np.ones(len(order), bool)
+        head[1:] = (c[1:] != c[:-1]) | (n[1:] != n[:-1])
+        lead = np.flatnonzero(head)
+        least = d[lead]
+        # the group that the last part ended in goes on
+        same = c[lead] == self.code if self.code is not None else np.zeros(len(lead), bool)
+        at = np.where(same, self._carried(n[lead]), -1)
+        least = np.where(at >= 0, np.minimum(least, self.least[np.maximum(at, 0)] if len(self.least) else least), least)
+        left = np.zeros(len(lead), bool)
+        if self.full:
+            left |= same & (at < 0)
+        tail = c[lead] == code[-1]
+        if code[-1] != self.code:
+            self.code, self.full = code[-1], False
+            self.nodes, self.least = self.nodes[:0], self.least[:0]
+        fresh = np.flatnonzero(tail & (at < 0) & ~left)
+        if not self.full and len(self.nodes) + len(fresh) > self.limit:
+            self.full = True
+            left[fresh[self.limit - len(self.nodes) :]] = True
+            fresh = fresh[: self.limit - len(self.nodes)]
+        if len(fresh):
+            every = np.concatenate([self.nodes, n[lead[fresh]]])
+            rank = np.argsort(every)
+            self.nodes, self.least = every[rank], np.concatenate([self.least, least[fresh]])[rank]
+        own = np.cumsum(head) - 1
+        repeat, split = np.zeros(len(order), bool), np.zeros(len(order), bool)
+        split[order] = left[own]
+        repeat[order] = (d > least[own]) & ~left[own]
+        return repeat, split
+
+
+def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", limit: int = NODES) -> DataFrame:
     """(doc, row, first, last): words [first, last) of a document that windows from lesser documents cover; row is a hash of its text.
 
-    Spans of one document may touch or overlap.  Groups of more than `group` records are split.
+    Spans of one document may touch or overlap.  `limit` is the number of nodes that a task
+    remembers of one group.
     """
     named = docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
-    sized = _records(named).withColumn("size", F.count("*").over(Window.partitionBy("code"))).where("size > 1")
     names = ["doc", "row", "first", "last", "node"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # a partition has all records of its codes, sorted by code
-        held: list[pa.RecordBatch] = []
-        rows = 0
+        trees = Subtrees(limit)
         for batch in batches:
-            held.append(batch)
-            rows += batch.num_rows
-            if rows >= 2 * group:
-                whole = pa.Table.from_batches(held).combine_chunks()
-                code = whole.column("code").to_numpy()
-                other = np.flatnonzero(code != code[-1])
-                done = int(other[-1]) + 1 if len(other) else 0
-                if whole.column("size")[-1].as_py() > group:
-                    done = len(code)  # split anyway, so it needn't be whole here
-                yield from _group(whole.slice(0, done), names, group)
-                held = whole.slice(done).to_batches()
-                rows = len(code) - done
-        if rows:
-            yield from _group(pa.Table.from_batches(held), names, group)
-
-    # (node is null where the repeats are known; else the suffix belongs to a group that is split)
-    found = cut(sized.mapInArrow(run, "doc long, row long, first long, last long, node long"))
+            code, doc, row, start = (batch.column(k).to_numpy() for k in range(4))
+            blobs = batch.column(4).to_pylist()
+            count = np.array([len(b) // 8 for b in blobs], np.int64)
+            ends = np.cumsum(count)
+            k = 0
+            while k < len(code):
+                to = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + SORTED, "right")))
+                size = count[k:to]
+                own = np.repeat(np.arange(k, to), size)
+                place = start[own] + np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)
+                nodes = np.frombuffer(b"".join(blobs[k:to]), np.uint64)
+                repeat, split = trees.add(code[own], doc[own], nodes)
+                hit, rest = np.flatnonzero(repeat), np.flatnonzero(split)
+                # neighbouring repeats of a record join
+                head = np.ones(len(hit), bool)
+                head[1:] = (np.diff(hit) != 1) | (own[hit[1:]] != own[hit[:-1]])
+                first = np.concatenate([hit[head], rest])
+                last = np.concatenate([hit[np.append(np.flatnonzero(head)[1:] - 1, len(hit) - 1)] if len(hit) else hit, rest])
+                node = pa.array(nodes[first].view(np.int64), mask=np.arange(len(first)) < len(first) - len(rest))
+                yield pa.RecordBatch.from_arrays([pa.array(doc[own[first]]), pa.array(row[own[first]]), pa.array(place[first]), pa.array(place[last] + WINDOW), node], names)
+                k = to
+
+    grouped = _records(named).repartition("code").sortWithinPartitions("code", "doc")
+    # node is null where the repeats are known; else the suffix is one of those split off
+    found = cut(grouped.mapInArrow(run, "doc long, row long, first long, last long, node long"))
     split = found.where("node is not null")
     least = split.groupBy("node").agg(F.min("doc").alias("least"))
     more = split.join(least, "node").where("doc > least").select("doc", "row", "first", "last")
     return found.where("node is null").select("doc", "row", "first", "last").unionByName(more)
 
 
-def _group(table: pa.Table, names: list[str], group: int) -> Iterator[pa.RecordBatch]:
-    if not table.num_rows:
-        return
-    doc, row, start, size = (table.column(c).to_numpy() for c in ("doc", "row", "start", "size"))
-    blobs = table.column("nodes").to_pylist()
-    count = np.array([len(b) // 8 for b in blobs])
-    nodes = np.frombuffer(b"".join(blobs), np.uint64)
-    own = np.repeat(np.arange(len(count)), count)
-    place = start[own] + np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
-    large = size[own] > group
-    small = np.flatnonzero(~large)
-    hit = small[subtree_repeats(doc[own[small]], nodes[small])]
-    # neighbouring repeats of a record join
-    head = np.ones(len(hit), bool)
-    head[1:] = (np.diff(hit) != 1) | (own[hit[1:]] != own[hit[:-1]])
-    first = hit[head]
-    last = hit[np.append(np.flatnonzero(head)[1:] - 1, len(hit) - 1)] if len(hit) else hit
-    rest = np.flatnonzero(large)
-    both, ends = np.concatenate([first, rest]), np.concatenate([last, rest])
-    node = pa.array(nodes[both].view(np.int64), mask=np.arange(len(both)) < len(first))
-    yield pa.RecordBatch.from_arrays([pa.array(doc[own[both]]), pa.array(row[own[both]]), pa.array(place[both]), pa.array(place[ends] + WINDOW), node], names)
-
-
 def _with_spans(docs: DataFrame, text: str, key: str) -> DataFrame:
     """docs with a column _spans: flat array of first, last of each repeat, null if there is none."""
     spans = repeats(docs, text, key).groupBy("doc", "row").agg(F.flatten(F.collect_list(F.array("first", "last"))).alias("_spans"))
