@@ -1,0 +1 @@
+"""A versioned key-value analytics engine on Spark DataFrames."""

@@ -1 +1,90 @@
-ORACLE_SQL = {}
+"""The same queries as SQL for DuckDB.  Sequential simulations (CLOCK, hash buckets) have none."""
+
+from __future__ import annotations
+
+_OLOG = "olog AS (SELECT o_orderkey AS seq, CAST(o_custkey AS INTEGER) AS key, CAST(floor(o_totalprice) AS INTEGER) AS value FROM orders)"
+_ELOG = "elog AS (SELECT event_id AS seq, CAST(user_id AS INTEGER) AS key, CASE WHEN event_type = 'error' THEN -1 ELSE CAST(round(value * 100) AS INTEGER) END AS value FROM events)"
+_ST = f"{_OLOG}, st AS (SELECT key, max_by(value, seq) AS value FROM olog GROUP BY key)"
+_ES = f"{_ELOG}, es AS (SELECT key, max_by(value, seq) AS value FROM elog GROUP BY key)"
+_RUNS = "r AS (SELECT CAST(floor(o_orderkey / 1000.0) AS INTEGER) AS run, CAST(o_orderkey AS INTEGER) AS key FROM orders), m AS (SELECT run, min(key) AS min_key, max(key) AS max_key, count(*) AS num_pairs FROM r GROUP BY run)"
+_WIDE = f"{_OLOG}, r AS (SELECT DISTINCT CAST(floor(seq * 8 / ((SELECT max(seq) FROM olog) + 1)) AS INTEGER) AS run, key FROM olog), m AS (SELECT run, min(key) AS min_key, max(key) AS max_key, count(*) AS num_pairs FROM r GROUP BY run)"
+_H = "h AS (SELECT * FROM (VALUES (0), (1), (2)) v(i))"
+_LAST = "(SELECT max(seq) + 1 FROM {0})"
+
+
+def _pos(key: str, bits: str) -> str:
+    return f"((CAST({key} AS BIGINT) & 4294967295) + i * (xor(CAST({key} AS BIGINT), 2654435769) & 4294967295)) % ({bits} * 10)"
+
+
+def _part(name: str, log: str, low: float, high: float) -> str:
+    last = _LAST.format(log)
+    return f"{name} AS (SELECT key, max_by(value, seq) AS value FROM {log} WHERE CAST(seq AS DOUBLE) / {last} >= {low} AND CAST(seq AS DOUBLE) / {last} < {high} GROUP BY key)"
+
+
+_BITS = f"bits AS (SELECT DISTINCT r.run, {_pos('r.key', 'm.num_pairs')} AS pos FROM r JOIN m ON r.run = m.run CROSS JOIN h)"
+_MAYBE = f"""p AS (SELECT DISTINCT key + 1 AS key FROM olog), z AS (SELECT p.key, m.run, m.num_pairs FROM p JOIN m ON p.key BETWEEN m.min_key AND m.max_key),
+pp AS (SELECT DISTINCT z.key, z.run, {_pos('z.key', 'z.num_pairs')} AS pos FROM z CROSS JOIN h),
+maybe AS (SELECT pp.key, pp.run FROM pp LEFT JOIN bits ON pp.run = bits.run AND pp.pos = bits.pos GROUP BY pp.key, pp.run HAVING count(bits.pos) = count(*))"""
+_RANKED = f"{_ST}, x AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS rn FROM st)"
+_LEVELS = f"""WITH RECURSIVE {_RANKED}, leaf AS (SELECT CAST(floor(rn / 16.0) AS INTEGER) AS node, max(key) AS max_key FROM x GROUP BY 1),
+lv AS (SELECT 0 AS level, node, max_key FROM leaf
+  UNION ALL SELECT level + 1, node, max_key FROM (
+    SELECT level, CAST(floor(node / 5.0) AS INTEGER) AS node, max(max_key) AS max_key, sum(count(*)) OVER () AS below FROM lv GROUP BY 1, 2) WHERE below > 1)"""
+_W = "w AS MATERIALIZED (SELECT o_orderkey AS seq, CAST(o_custkey AS INTEGER) AS k, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS p FROM orders)"
+_EPOCHS = f"""WITH RECURSIVE {_W},
+ep AS (SELECT 0 AS e, (SELECT min(seq) FROM w) AS s, (SELECT list(seq ORDER BY seq)[64] FROM w WHERE p IS NULL) AS t
+  UNION ALL SELECT e + 1, t + 1, (SELECT list(seq ORDER BY seq)[64] FROM w WHERE w.seq > ep.t AND (p IS NULL OR p < ep.t + 1)) FROM ep WHERE t IS NOT NULL),
+rows AS (SELECT ep.e AS epoch, min(w.seq) AS first_seq, min(w.k) AS min_key, max(w.k) AS max_key, CAST(count(DISTINCT w.k) AS INTEGER) AS num_keys, count(*) AS num_writes
+  FROM ep JOIN w ON w.seq >= ep.s AND (ep.t IS NULL OR w.seq <= ep.t) GROUP BY ep.e)"""
+_ONE_STORE = """w{0} AS MATERIALIZED (SELECT o_orderkey AS seq, o_custkey AS k, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS p FROM orders WHERE ascii(o_orderpriority) - 48 = {0}),
+ep{0} AS (SELECT 0 AS e, (SELECT list(seq ORDER BY seq)[64] FROM w{0} WHERE p IS NULL) AS t
+  UNION ALL SELECT e + 1, (SELECT list(seq ORDER BY seq)[64] FROM w{0} WHERE seq > ep{0}.t AND (p IS NULL OR p <= ep{0}.t)) FROM ep{0} WHERE t IS NOT NULL)"""
+_STORES = "WITH RECURSIVE " + ",\n".join(_ONE_STORE.format(k) for k in range(1, 6)) + "\n" + " UNION ALL ".join(
+    f"SELECT {k} AS store, (SELECT count(*) FROM ep{k} WHERE t IS NOT NULL AND t < (SELECT max(seq) FROM w{k})) AS flushes, (SELECT count(*) FROM w{k}) AS writes" for k in range(1, 6)
+)
+
+ORACLE_SQL: dict[str, str] = {
+    "state_latest": f"WITH {_ST} SELECT * FROM st",
+    "state_with_tombstones": f"WITH {_ES} SELECT * FROM es",
+    "point_get": f"WITH {_ST} SELECT * FROM st WHERE key = 42",
+    "range_scan": f"WITH {_ST} SELECT * FROM st WHERE key BETWEEN 100 AND 200",
+    "range_inverted": f"WITH {_ST} SELECT * FROM st WHERE key BETWEEN 200 AND 100",
+    "sorted_scan": f"WITH {_ST} SELECT * FROM st ORDER BY key",
+    "live_scan": f"WITH {_ES} SELECT * FROM es WHERE value <> -1",
+    "scan_counts": f"WITH {_ES} SELECT count(*) AS found_n, count(CASE WHEN value <> -1 THEN 1 END) AS shown_n, count(CASE WHEN value = -1 THEN 1 END) AS hidden_n FROM es WHERE key BETWEEN 20 AND 90",
+    "multi_get_classify": f"WITH {_ES}, p AS (SELECT DISTINCT CAST(event_id AS INTEGER) AS key FROM events) SELECT p.key, CASE WHEN es.value IS NULL THEN 'not_found' WHEN es.value = -1 THEN 'deleted' ELSE 'found' END AS status, es.value FROM p LEFT JOIN es ON p.key = es.key",
+    "inorder_values": f"WITH {_ST} SELECT CAST(row_number() OVER (ORDER BY key) AS INTEGER) AS pos, value FROM st",
+    "pair_order": f"WITH {_OLOG} SELECT key, value FROM olog ORDER BY key, value",
+    "merge_two_runs": f"WITH {_OLOG}, {_part('a', 'olog', 0.9, 1.0)}, {_part('b', 'olog', 0.0, 0.15)} SELECT coalesce(a.key, b.key) AS key, coalesce(a.value, b.value) AS value FROM a FULL OUTER JOIN b ON a.key = b.key",
+    "merge_last_level": f"WITH {_ELOG}, {_part('a', 'elog', 0.5, 1.0)}, {_part('b', 'elog', 0.0, 0.5)}, c AS (SELECT coalesce(a.key, b.key) AS key, coalesce(a.value, b.value) AS value FROM a FULL OUTER JOIN b ON a.key = b.key) SELECT * FROM c WHERE value <> -1",
+    "level_priority_read": f"WITH {_OLOG}, {_part('a', 'olog', 0.8, 1.0)}, {_part('b', 'olog', 0.5, 0.8)}, {_part('c', 'olog', 0.0, 0.5)}, u AS (SELECT *, 0 AS level FROM a UNION ALL SELECT *, 1 FROM b UNION ALL SELECT *, 3 FROM c), x AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY level) AS rn FROM u) SELECT key, value, level FROM x WHERE rn = 1",
+    "priority_union": f"WITH {_OLOG}, {_part('a', 'olog', 0.95, 1.0)}, {_part('b', 'olog', 0.0, 0.95)}, u AS (SELECT *, 0 AS source FROM a UNION ALL SELECT *, 1 FROM b), x AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY source) AS rn FROM u) SELECT key, value, source FROM x WHERE rn = 1",
+    "run_manifest": f"WITH {_RUNS} SELECT * FROM m",
+    "zone_contains": f"WITH {_RUNS}, p AS (SELECT DISTINCT CAST(o_custkey * 11 AS INTEGER) AS key FROM orders) SELECT p.key, m.run FROM p JOIN m ON p.key BETWEEN m.min_key AND m.max_key",
+    "zone_overlap": f"WITH {_RUNS} SELECT run FROM m WHERE max_key >= 2500 AND min_key <= 4500",
+    "manifest_lines": f"WITH {_RUNS} SELECT concat_ws(',', '0', CAST(run AS VARCHAR), concat('sst_', CAST(run AS VARCHAR), '.txt'), CAST(min_key AS VARCHAR), CAST(max_key AS VARCHAR), CAST(num_pairs AS VARCHAR)) AS line FROM m",
+    "manifest_parse": """
+WITH t AS (SELECT * FROM (VALUES ('# This is a comment'), (''), ('next_sst_number=5'), ('# Another comment'), ('0,1,sst_1.txt,10,100,45'), ('1,2,sst_2.txt,5,95,90'),
+  ('1,2,file.txt'), ('1,2,file.txt,10,20,30,40'), ('abc,2,file.txt,10,20,30'), ('2,42,sst_42.txt,-100,500,1234')) v(line)),
+x AS (SELECT string_split(line, ',') AS a FROM t WHERE line <> '' AND line NOT LIKE '#%' AND line NOT LIKE 'next_sst_number=%'),
+y AS (SELECT try_cast(a[1] AS INTEGER) AS level, try_cast(a[2] AS INTEGER) AS sst_number, a[3] AS file_name, try_cast(a[4] AS INTEGER) AS min_key, try_cast(a[5] AS INTEGER) AS max_key, try_cast(a[6] AS BIGINT) AS num_pairs FROM x WHERE len(a) = 6)
+SELECT * FROM y WHERE level IS NOT NULL AND sst_number IS NOT NULL AND min_key IS NOT NULL AND max_key IS NOT NULL AND num_pairs IS NOT NULL""",
+    "manifest_round_trip": f"WITH {_RUNS} SELECT run AS sst_number, min_key, max_key, num_pairs FROM m",
+    "flush_epochs": f"{_EPOCHS} SELECT * FROM rows",
+    "flush_epochs_by_store": _STORES,
+    "level_shape": "WITH f AS (SELECT CAST(floor((count(*) - 1) / 64.0) AS BIGINT) AS n FROM orders), b AS (SELECT CAST(unnest(range(0, 31)) AS INTEGER) AS level) SELECT level, CAST(64 * (1::BIGINT << level) AS BIGINT) AS num_pairs FROM b, f WHERE (f.n >> level) & 1 = 1",
+    "memtable_status": f"{_EPOCHS} SELECT num_keys AS size, 64 AS capacity, round(num_keys * 100.0 / 64, 1)::DOUBLE AS fill_percent FROM rows WHERE epoch = (SELECT max(epoch) FROM rows)",
+    "bloom_positions": f"WITH {_RUNS}, {_H} SELECT DISTINCT r.run, {_pos('r.key', 'm.num_pairs')} AS pos FROM r JOIN m ON r.run = m.run CROSS JOIN h",
+    "bloom_size": f"WITH {_RUNS} SELECT run, num_pairs * 10 AS num_bits, CAST(ceil(num_pairs * 10 / 8.0) AS BIGINT) AS num_bytes FROM m",
+    "bloom_probe": f"WITH {_WIDE}, {_H}, {_BITS}, {_MAYBE} SELECT key, run FROM maybe",
+    "bloom_quality": f"WITH {_WIDE}, {_H}, {_BITS}, {_MAYBE} SELECT (SELECT count(*) FROM z) AS probe_n, count(*) AS maybe_n, count(CASE WHEN r.key IS NULL THEN 1 END) AS false_n FROM maybe LEFT JOIN r ON r.key = maybe.key AND r.run = maybe.run",
+    "leaf_pages": f"WITH {_RANKED} SELECT CAST(floor(rn / 512.0) AS INTEGER) AS page, min(key) AS min_key, max(key) AS max_key, count(*) AS num_pairs FROM x GROUP BY 1",
+    "internal_levels": f"{_LEVELS} SELECT * FROM lv",
+    "internal_separators": f"""{_LEVELS}, c AS (SELECT level + 1 AS level, CAST(floor(node / 5.0) AS INTEGER) AS parent, node, max_key, row_number() OVER (PARTITION BY level, CAST(floor(node / 5.0) AS INTEGER) ORDER BY node DESC) AS back FROM lv)
+SELECT lv.level, lv.node, coalesce((SELECT string_agg(CAST(c.max_key AS VARCHAR), ',' ORDER BY c.node) FROM c WHERE c.level = lv.level AND c.parent = lv.node AND c.back > 1), '') AS keys FROM lv WHERE lv.level > 0""",
+    "route_key": f"WITH {_RANKED}, pg AS (SELECT CAST(floor(rn / 64.0) AS INTEGER) AS page, max(key) AS max_key FROM x GROUP BY 1), p AS (SELECT DISTINCT CAST(o_custkey + 3 AS INTEGER) AS key FROM orders) SELECT p.key, min(pg.page) AS page FROM p LEFT JOIN pg ON pg.max_key >= p.key GROUP BY p.key",
+    "page_locality": f"WITH {_RANKED} SELECT CAST(floor(rn / 64.0) AS INTEGER) AS page, count(*) AS keys_hit FROM x WHERE key % 50 IN (1, 2, 3) GROUP BY 1",
+    "seq_load": "SELECT CAST(k AS INTEGER) AS key, CAST(k AS INTEGER) AS value FROM range(10, 1001, 3) t(k)",
+    "bulk_load": "WITH n AS (SELECT count(*) AS n FROM orders) SELECT n AS num_pairs, 1 AS min_key, CAST(n AS INTEGER) AS max_key, CAST(n * (n + 1) / 2 AS BIGINT) AS total FROM n",
+    "tombstone_share": f"WITH {_ES} SELECT count(*) AS num_keys, count(CASE WHEN value = -1 THEN 1 END) AS num_deleted FROM es",
+}
