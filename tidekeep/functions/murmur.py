@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _C1, _C2 = np.uint32(0xCC9E2D51), np.uint32(0x1B873593)
 
@@ -39,7 +40,7 @@ def murmur3(texts: list[bytes], seed: int = 0) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def murmur3_32(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The hash with seed 0, as a non-negative long; null stays null."""
     for texts in batches:
