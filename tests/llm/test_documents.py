@@ -133,8 +133,12 @@ def test_prefix_keys_lose_no_link():
         both = len(np.intersect1d(x, y))
         if 100 * both >= 75 * (len(x) + len(y) - both):
             links += 1
-            kx, ky = (ngram_join.prefix_keys(z, np.isin(z, often))[0] for z in (x, y))
-            assert len(np.intersect1d(kx, ky)), (trial, len(x), len(y), both)
+            (sx, kx, px), (sy, ky, py) = (ngram_join.prefix_keys(z, np.isin(z, often)) for z in (x, y))
+            shared = len(np.intersect1d(sx, sy))
+            assert shared or len(np.intersect1d(kx, ky)), (trial, len(x), len(y), both)
+            rx, ry = (len(z) - len(s) if pure else int(np.isin(z, often).sum()) for z, s, pure in ((x, sx, px), (y, sy, py)))
+            rest = max(rx, ry) if px and py else rx if px else ry if py else min(rx, ry)
+            assert both <= shared + rest
     assert links > 300
 
 
