@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -119,6 +120,20 @@ def test_near_duplicates_against_all_pairs(spark):
     assert ngram_join.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_near_duplicates_of_repeated_rows(spark, monkeypatch):
+    # chains in which only neighbours link (85 of 109 tokens), too long for the pivots; all tokens rare
+    monkeypatch.setattr(ngram_join, "FREQUENT", 0)
+    rng = random.Random(5)
+    rows = []
+    for chain in range(6):
+        line = [f"w{rng.randrange(10**9)}" for _ in range(101 + 12 * 79)]
+        rows += [(chain * 1000 + k, " ".join(line[12 * k : 12 * k + 101]), "aa", "s", 0) for k in range(80)]
+    rng.shuffle(rows)
+    got = ngram_join.near_duplicates(frame(spark, rows + rows)).collect()
+    assert len(got) == 2 * len(rows)
+    assert {(r.doc_id, r.component_id) for r in got} == {(r[0], r[0] // 1000 * 1000) for r in rows}
+
+
 def test_prefix_keys_lose_no_link():
     rng = np.random.RandomState(0)
     links = 0
