@@ -1,19 +1,21 @@
-"""Removal of word runs that repeat from another document, by prefix-partitioned suffix trees.
-
-Every position that begins a window of `WINDOW` words is a suffix, cut at that depth.  A
-suffix is routed by a prefix of variable length: its words up to the end of the least (by
-hash) run of `ANCHOR` words in its window.  Equal windows have the same least run, so a
-subtree never needs suffixes of another group; consecutive suffixes mostly share it, so
-they travel as one record, which holds for each of them the fingerprint of its node at the
-window's depth.
-
-A group's records arrive in the order of their documents.  Suffixes are sorted into their
-subtree, whose internal nodes at full depth are the repeats, and neighbouring ones join
-into maximal repeats.  A task holds a part of a group at a time and, of what went before,
-each node's least document, up to `NODES` of them.  In a group of more distinct nodes, the
-others are split off by the longest prefix, the whole window: there a node's least document
-is a plain aggregate, summed before the shuffle.  Memory is bounded whatever the number of
-copies, and no suffix is left out.
+"""Removal of word runs that repeat from another document, by minimizer-partitioned window fingerprints.
+
+They stand in for prefix-partitioned suffix trees: only repeats of `WINDOW` words count, so
+of a tree only the nodes at that depth would be asked for, and equal windows are those.  No
+tree is built, and no node at another depth exists.
+
+Every position that begins a window of `WINDOW` words is a suffix, cut at that depth, and
+the fingerprint of its window is its node.  A suffix is routed by its minimizer, the least
+hash of a run of `ANCHOR` words in its window.  Equal windows have the same minimizer, so
+a group never needs suffixes of another; consecutive suffixes mostly share it, so they
+travel as one record, which holds the node of each of them.
+
+A group's records arrive in the order of their documents.  Suffixes are sorted by node;
+nodes with several documents are the repeats, and neighbouring ones join into maximal
+repeats.  A task holds a part of a group at a time and, of what went before, each node's
+least document, up to `NODES` of them.  In a group of more distinct nodes, the others are
+split off by node: there a node's least document is a plain aggregate, summed before the
+shuffle.  Memory is bounded whatever the number of copies, and no suffix is left out.
 
 A window goes if its words also start in a document of a smaller id; all windows are judged
 on the input.  Words are runs of bytes other than 0x20 and 0x09-0x0D, unchanged.
