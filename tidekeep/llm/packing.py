@@ -1,4 +1,7 @@
-"""Best-fit packing of token sequences, in bulk-synchronous rounds.
+"""Best-fit packing of token sequences, in rounds that the driver plans over the histogram of lengths.
+
+The plan takes the place of distributed successor sweeps over tables of pieces and gaps:
+it needs only the counts of at most `CAPACITY` lengths.  Gaps are ranges on the driver.
 
 Documents are tokenized, and only those beyond the capacity are cut: into pieces of full
 capacity, the first piece taking what is over.  Pieces are range-sorted by length, so that
