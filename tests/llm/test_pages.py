@@ -113,3 +113,12 @@ def test_url_lists_against_a_row_by_row_version(spark):
     assert got == want and any(v[0] for v in want.values())
     assert url_filters.evaluate(spark.createDataFrame([], schema), listed).count() == 0
     assert not any(r.blocked for r in url_filters.evaluate(spark.createDataFrame(captures, schema), spark.createDataFrame([], listed.schema)).collect())
+
+
+def test_url_lists_by_capture(spark):
+    entries = spark.createDataFrame([("l", "domain", "Example.com", "add", 5), ("l", "prefix", "Other.org/Path", "add", 1)], "list string, kind string, pattern string, action string, at long")
+    captures = [(1, "http://example.com/a", 3), (1, "http://example.com/a", 7), (1, "http://example.com/a", 7), (1, "http://other.org/Path/x", 7), (2, "http://other.org/path/x", 7), (3, None, 7)]
+    got = url_filters.evaluate(spark.createDataFrame(captures, "page_id long, url string, fetched_at long"), entries).collect()
+    assert sorted((r.page_id, r.url or "", r.fetched_at, r.blocked, r.n_matches) for r in got) == sorted(
+        (k, u or "", t, hit, int(hit)) for (k, u, t), hit in zip(captures, [False, True, True, True, False, False], strict=True)
+    )

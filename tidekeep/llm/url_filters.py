@@ -42,6 +42,8 @@ def validity_intervals(entries: DataFrame) -> DataFrame:
     like a removal of what isn't, changes nothing.  valid_to is null while nothing ends it.
     """
     known = entries.where(F.col("kind").isin("domain", "prefix") & F.col("action").isin("add", "remove") & F.col("pattern").isNotNull() & F.col("at").isNotNull())
+    host, path = (F.regexp_extract("pattern", r"(?s)^([^/]*)(.*)$", k) for k in (1, 2))
+    known = known.withColumn("pattern", F.concat(F.lower(host), path))  # as host_of does
     own = Window.partitionBy("list", "kind", "pattern").orderBy("at", "action")
     changes = known.withColumn("before", F.lag("action").over(own)).where(F.coalesce(F.col("before"), F.lit("remove")) != F.col("action"))
     spans = changes.withColumn("valid_to", F.lead("at").over(own)).where("action = 'add'")
@@ -62,24 +64,24 @@ def _patterns(url: Column) -> Column:
 
 
 def matches(captures: DataFrame, intervals: DataFrame, key: str = "page_id", url: str = "url", at: str = "fetched_at") -> DataFrame:
-    """(key, list, kind, pattern, valid_from) of every interval that holds for a capture at its fetch time."""
-    asked = captures.where(F.col(url).isNotNull() & F.col(at).isNotNull()).select(F.col(key).alias("_key"), F.col(at).alias("_at"), F.explode(_patterns(F.col(url))).alias("_p"))
-    asked = asked.select("_key", "_at", F.col("_p.kind").alias("kind"), F.col("_p.pattern").alias("pattern"), F.pmod(F.xxhash64("_key", "_at"), F.lit(SALTS)).cast("int").alias("salt"))
+    """(key, url, at, list, kind, pattern, valid_from) of every interval that holds for a capture at its fetch time."""
+    asked = captures.where(F.col(url).isNotNull() & F.col(at).isNotNull()).select(F.col(key).alias("_key"), F.col(url).alias("_url"), F.col(at).alias("_at"), F.explode(_patterns(F.col(url))).alias("_p"))
+    asked = asked.select("_key", "_url", "_at", F.col("_p.kind").alias("kind"), F.col("_p.pattern").alias("pattern"), F.pmod(F.xxhash64("_key", "_at"), F.lit(SALTS)).cast("int").alias("salt"))
     listed = intervals.groupBy("kind", "pattern").agg(F.array_sort(F.collect_list(F.struct("valid_from", "valid_to", "list"))).alias("spans"))
     listed = listed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     found = asked.join(listed, ["kind", "pattern", "salt"])
     holds = F.filter("spans", lambda s: (s["valid_from"] <= F.col("_at")) & (s["valid_to"].isNull() | (F.col("_at") < s["valid_to"])))
-    found = found.select("_key", "kind", "pattern", F.explode(holds).alias("span"))
-    return found.select(F.col("_key").alias(key), F.col("span.list").alias("list"), "kind", "pattern", F.col("span.valid_from").alias("valid_from"))
+    found = found.select("_key", "_url", "_at", "kind", "pattern", F.explode(holds).alias("span"))
+    return found.select(F.col("_key").alias(key), F.col("_url").alias(url), F.col("_at").alias(at), F.col("span.list").alias("list"), "kind", "pattern", F.col("span.valid_from").alias("valid_from"))
 
 
 def evaluate(captures: DataFrame, entries: DataFrame, key: str = "page_id", url: str = "url", at: str = "fetched_at") -> DataFrame:
-    """One row per key: blocked, number of intervals that hold, first matching pattern by name and its list.
-
-    Captures that share a key count as one.
-    """
+    """One row per capture: key, url, at, blocked, number of intervals that hold, first matching pattern by name and its list."""
+    own = [key, url, at]
     found = matches(captures, validity_intervals(entries), key, url, at)
-    hits = found.select(key, F.lit(1).alias("_hit"), F.struct("pattern", "list").alias("_first"))
-    every = captures.select(key, F.lit(0).alias("_hit"), F.lit(None).cast(hits.schema["_first"].dataType).alias("_first"))
-    summed = every.unionByName(hits).groupBy(key).agg(F.sum("_hit").alias("n_matches"), F.min("_first").alias("_first"))
-    return summed.select(key, (F.col("n_matches") > 0).alias("blocked"), "n_matches", F.col("_first.pattern").alias("pattern"), F.col("_first.list").alias("list"))
+    hits = found.select(*own, F.lit(1).alias("_hit"), F.lit(0).alias("_row"), F.struct("pattern", "list").alias("_first"))
+    every = captures.select(*own, F.lit(0).alias("_hit"), F.lit(1).alias("_row"), F.lit(None).cast(hits.schema["_first"].dataType).alias("_first"))
+    summed = every.unionByName(hits).groupBy(*own).agg(F.sum("_hit").alias("_hits"), F.sum("_row").alias("_rows"), F.min("_first").alias("_first"))
+    # each of several equal captures has all the hits
+    each = summed.withColumn("n_matches", F.expr("_hits div _rows")).withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("_rows"))))
+    return each.select(*own, (F.col("n_matches") > 0).alias("blocked"), "n_matches", F.col("_first.pattern").alias("pattern"), F.col("_first.list").alias("list"))
