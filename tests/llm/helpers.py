@@ -10,6 +10,13 @@ WORD = re.compile("[^\x20\x09-\x0d]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
+def thue_morse(letters, rounds=10):
+    word, other = letters
+    for _ in range(rounds):
+        word, other = word + other, other + word
+    return word
+
+
 def words(text):
     return WORD.findall(text or "")
 
@@ -40,6 +47,10 @@ def corpus(n=160, seed=1):
             text = text.upper() + " ###$$$ |\n\n" + text + "\n" + text
         rows.append((i * 3, text, lang, f"s{i % 5}", len(text or "")))
     odd = [None, "", " \n\t ", "one", "a b c d", "x " * 300, "日本語 テキスト 😀   nbsp", "don't stop, it's <|endoftext|> 123  456\n\n", "z" * 5000, "\x0b\x0c"]
+    # polynomial sums modulo a power of two can't tell these two apart, as letters or as words
+    one, two = thue_morse("ab"), thue_morse("ba")
+    odd += [one, two, f"say {one} {one} and {two}", *(" ".join(vocabulary["bb"][:30] + [x] + vocabulary["bb"][30:90]) for x in (one, two)), " ".join(one), " ".join(two)]
+    odd += [f"{one}\n{two}\n{one}\n" + " ".join(vocabulary["cc"][:40]), ("ab" * 7 + " ") * 90, "wörter " * 4000 + one]
     rows += [(1000 + k, t, "aa", None, 0) for k, t in enumerate(odd)]
     rows += [(2000, "no language here at all", None, "s", 3), rows[3]]
     rng.shuffle(rows)

@@ -25,11 +25,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .textbatch import Block, SpanHasher, blocks, mix
+from .textbatch import Block, blocks, distinct, quoted, same_bytes, span_codes
 
 #: Longest row, in symbols, that the matrix takes.
 LONG = 256
 NONE = np.int32(2**31 - 1)
+#: Bytes of text in a block: the more, the more often a match is there already.
+BLOCK = 2_000_000
 
 LETTER, DIGIT, SPACE, OTHER = 1, 2, 3, 0
 
@@ -255,9 +257,9 @@ class ByteBPE(PairMerger):
         self.begin = np.cumsum(self.lengths) - self.lengths
         super().__init__(ranks)
         self.added: dict[bytes, int] = {}
-        hashed = SpanHasher(_codes(self.joined))(self.begin, self.begin + self.lengths)
-        order = np.argsort(hashed)
-        self.whole_hash, self.whole_id = hashed[order], order.astype(np.int32)
+        codes = span_codes(self.joined, self.begin, self.begin + self.lengths)
+        order = np.argsort(codes)
+        self.whole_code, self.whole_id = codes[order], order.astype(np.int32)
 
     @classmethod
     def from_file(cls, path: str) -> ByteBPE:
@@ -286,28 +288,25 @@ class ByteBPE(PairMerger):
         """Ids of the spans, one after another, and how many each has.  Equal spans are encoded once."""
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
-        hashed = SpanHasher(_codes(data))(starts, ends)
-        order = np.argsort(hashed)
-        ranked = hashed[order]
-        fresh = np.ones(len(order), bool)
-        fresh[1:] = ranked[1:] != ranked[:-1]
-        own = np.empty(len(order), np.int64)
-        own[order] = np.cumsum(fresh) - 1
-        some = order[fresh]
-        ids, count = self._encode_distinct(data, starts[some], ends[some], hashed[some])
+        some, own, codes = distinct(data, starts, ends)
+        ids, count = self._encode_distinct(data, starts[some], ends[some], codes)
         begin = np.cumsum(count) - count
+        begin = begin[own]
         count = count[own]
         place = np.cumsum(count) - count
-        return ids[np.arange(int(count.sum())) + np.repeat(begin[own] - place, count)], count
+        return ids[np.arange(int(count.sum())) + np.repeat(begin - place, count)], count
 
-    def _encode_distinct(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _encode_distinct(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n, size = len(starts), ends - starts
         count = np.ones(n, np.int64)
         parts: list[tuple[np.ndarray, np.ndarray]] = []
-        at = np.minimum(np.searchsorted(self.whole_hash, hashed), len(self.whole_hash) - 1)
-        whole = self.whole_hash[at] == hashed
+        at = np.minimum(np.searchsorted(self.whole_code, codes), len(self.whole_code) - 1)
+        whole = self.whole_code[at] == codes
+        token = self.whole_id[at]
+        check = np.flatnonzero(whole & (size >= 8))
+        whole[check] = (self.lengths[token[check]] == size[check]) & same_bytes(data, starts[check], self.joined, self.begin[token[check]], np.minimum(size[check], self.lengths[token[check]]))
         rows = np.flatnonzero(whole)
-        parts.append((rows, self.whole_id[at[rows]][:, None]))
+        parts.append((rows, token[rows][:, None]))
         rest = np.flatnonzero(~whole)
         rest = rest[np.argsort(size[rest], kind="stable")]
         short = rest[size[rest] <= LONG]
@@ -370,12 +369,6 @@ class ByteBPE(PairMerger):
         return self.joined[np.arange(int(to[-1])) + np.repeat(self.begin[ids] - (to - size), size)]
 
 
-def _codes(data: np.ndarray) -> np.ndarray:
-    from .textbatch import _BYTE_CODES
-
-    return _BYTE_CODES[data]
-
-
 @lru_cache(4)
 def load(path: str) -> ByteBPE:
     """One vocabulary a process and path."""
@@ -388,13 +381,13 @@ def encode(docs: DataFrame, ranks_path: str, text: str = "text", key: str = "doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(ranks_path)
         for batch in batches:
-            for block in blocks(batch.column(1)):
+            for block in blocks(batch.column(1), BLOCK):
                 ids, bounds = bpe.encode_block(block)
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.count), lists], [key, "ids"])
 
-    picked = docs.select(key, text)
-    return picked.mapInArrow(run, f"{key} {picked.dtypes[0][1]}, ids array<int>")
+    picked = docs.select(quoted(key), quoted(text))
+    return picked.mapInArrow(run, f"{quoted(key)} {picked.dtypes[0][1]}, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids", key: str = "doc_id") -> DataFrame:
@@ -406,8 +399,8 @@ def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids", key: str = "do
             out = [None if row is None else bpe.decode(np.asarray(row, np.int32)).tobytes() for row in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], [key, "data"])
 
-    picked = encoded.select(key, ids)
-    return picked.mapInArrow(run, f"{key} {picked.dtypes[0][1]}, data binary")
+    picked = encoded.select(quoted(key), quoted(ids))
+    return picked.mapInArrow(run, f"{quoted(key)} {picked.dtypes[0][1]}, data binary")
 
 
 def round_trip(docs: DataFrame, ranks_path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -419,7 +412,7 @@ def round_trip(docs: DataFrame, ranks_path: str, text: str = "text", key: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(ranks_path)
         for batch in batches:
-            for block in blocks(batch.column(1)):
+            for block in blocks(batch.column(1), BLOCK):
                 ids, bounds = bpe.encode_block(block)
                 raw, data = ids.astype("<u4"), bpe.decode(ids)
                 size = np.zeros(len(ids) + 1, np.int64)
@@ -436,5 +429,5 @@ def round_trip(docs: DataFrame, ranks_path: str, text: str = "text", key: str =
                     [key, "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
-    picked = docs.select(key, text)
-    return picked.mapInArrow(run, f"{key} {picked.dtypes[0][1]}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    picked = docs.select(quoted(key), quoted(text))
+    return picked.mapInArrow(run, f"{quoted(key)} {picked.dtypes[0][1]}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -26,6 +26,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .textbatch import quoted
+
 #: Least logarithm of the base that link text raises; without links it would be 0.
 LEAST_BASE = 0.05
 
@@ -318,6 +320,6 @@ def main_text(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("pa
                 found = [extract(p) for p in part.column(len(keep)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keep))), pa.array(found, pa.string()), pa.array(list(map(len, found)), pa.int64())], names)
 
-    picked = pages.select(*keep, html)
-    schema = ", ".join(f"{name} {kind}" for name, kind in picked.dtypes[: len(keep)])
+    picked = pages.select(*map(quoted, keep), quoted(html))
+    schema = ", ".join(f"{quoted(name)} {kind}" for name, kind in picked.dtypes[: len(keep)])
     return picked.mapInArrow(run, f"{schema}, text string, n_chars long")

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import LETTER, _classes, _codepoints
-from .textbatch import Block, blocks
+from .textbatch import Block, blocks, quoted
 
 DEPTH = 300
 PER_LANGUAGE = 1000
@@ -114,12 +114,12 @@ class Profiles:
 
 def held_out(key: str = "doc_id") -> Column:
     """Documents that are never learned from."""
-    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    return F.coalesce(F.crc32(F.col(quoted(key)).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Profiles:
     """Profiles of all languages among the documents that aren't held out."""
-    docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    docs = docs.select(F.col(quoted(key)).alias("doc_id"), F.col(quoted(text)).alias("text"), F.col(quoted(lang)).alias("lang"))
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out())
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = usable.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).where(F.col("place") <= PER_LANGUAGE).select("doc_id", "lang")
@@ -161,8 +161,8 @@ def identify(docs: DataFrame, profiles: Profiles, text: str = "text", key: str =
                     [key, "lang_pred", "score"],
                 )
 
-    picked = docs.select(key, text)
-    return picked.mapInArrow(run, f"{key} {picked.dtypes[0][1]}, lang_pred string, score double")
+    picked = docs.select(quoted(key), quoted(text))
+    return picked.mapInArrow(run, f"{quoted(key)} {picked.dtypes[0][1]}, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, profiles: Profiles, least: float, text: str = "text") -> DataFrame:

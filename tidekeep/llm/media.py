@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .textbatch import blocks
+from .textbatch import blocks, quoted
 
 UNIT = 192
 TAIL = 16
@@ -193,8 +193,8 @@ def media_columns(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
                 segments = pa.array([[{"start_s": a, "end_s": b} for a, b in found.segments.tolist()]], kind)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([media]), pa.array([found.to_arrow()]), segments], [key, "media", "tensors", "segments"])
 
-    picked = docs.select(key, text)
-    return picked.mapInArrow(run, f"{key} {picked.dtypes[0][1]}, media binary, tensors binary, segments array<struct<start_s: double, end_s: double>>")
+    picked = docs.select(quoted(key), quoted(text))
+    return picked.mapInArrow(run, f"{quoted(key)} {picked.dtypes[0][1]}, media binary, tensors binary, segments array<struct<start_s: double, end_s: double>>")
 
 
 def media_digests(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -213,5 +213,5 @@ def media_digests(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, t) for v, t in zip(rows, kinds, strict=True))], names)
 
-    picked = docs.select(key, text)
-    return picked.mapInArrow(run, f"{key} {picked.dtypes[0][1]}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    picked = docs.select(quoted(key), quoted(text))
+    return picked.mapInArrow(run, f"{quoted(key)} {picked.dtypes[0][1]}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

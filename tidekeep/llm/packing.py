@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import bpe
 from .shared import cut
-from .textbatch import blocks
+from .textbatch import blocks, quoted
 
 CAPACITY = 1024
 _ROW = (1 << 33) - 1
@@ -43,7 +43,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end: int, capacity: int = CAPAC
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = bpe.load(tokenizer_path)
         for batch in batches:
-            for block in blocks(batch.column(1)):
+            for block in blocks(batch.column(1), bpe.BLOCK):
                 ids, bounds = coder.encode_with_added(block)
                 ids = np.insert(ids, bounds[1:], end)
                 bounds = bounds + np.arange(block.count + 1)
@@ -61,8 +61,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, end: int, capacity: int = CAPAC
                     columns.append(pa.ListArray.from_arrays(pa.array(np.append(at, bounds[-1]), pa.int32()), pa.array(ids, pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    picked = docs.select(key, text)
-    return picked.mapInArrow(run, f"{key} {picked.dtypes[0][1]}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    picked = docs.select(quoted(key), quoted(text))
+    return picked.mapInArrow(run, f"{quoted(key)} {picked.dtypes[0][1]}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:

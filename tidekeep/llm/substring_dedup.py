@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import cut
-from .textbatch import Block, SpanHasher, blocks, windows
+from .textbatch import Block, blocks, quoted, run_codes, windows
 
 WINDOW = 50
 ANCHOR = 10
@@ -48,22 +48,20 @@ SORTED = 500_000
 
 def suffix_runs(block: Block, width: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
     """Runs of suffixes of one document that share their anchor: (document, first suffix's word in it, code, bounds) and all nodes."""
-    starts, ends, first = block.words()
-    at, doc = windows(starts, first, width)
+    words, first = block.word_codes()
+    at, doc = windows(first, width)
     if not len(at):
         none = np.zeros(0, np.int64)
         return none, none, none.astype(np.uint64), np.zeros(1, np.int64), none.astype(np.uint64)
-    spans = SpanHasher(block.hasher()(starts, ends))
-    grams = np.arange(len(starts) - anchor + 1)
     # the least of each run of `reach` grams; grams across documents are never asked for
-    low, size, reach = spans(grams, grams + anchor), 1, width - anchor + 1
+    low, size, reach = run_codes(words, anchor), 1, width - anchor + 1
     while 2 * size <= reach:
         low, size = np.minimum(low[:-size], low[size:]), 2 * size
     code = np.minimum(low[: len(low) - (reach - size)], low[reach - size :])[at]
     new = np.ones(len(at), bool)
     new[1:] = (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])
     lead = np.flatnonzero(new)
-    return doc[lead], at[lead] - first[doc[lead]], code[lead], np.append(lead, len(at)), spans(at, at + width)
+    return doc[lead], at[lead] - first[doc[lead]], code[lead], np.append(lead, len(at)), run_codes(words, width)[at]
 
 
 def _records(docs: DataFrame) -> DataFrame:
@@ -222,7 +220,7 @@ def removal_digests(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
                 digests = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.count), pa.array(words), pa.array(removed), pa.array(digests, pa.string())], [key, "n_words", "n_removed", "kept_sha256"])
 
-    return picked.mapInArrow(run, f"`{key}` {picked.dtypes[0][1]}, n_words long, n_removed long, kept_sha256 string")
+    return picked.mapInArrow(run, f"{quoted(key)} {picked.dtypes[0][1]}, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -26,7 +26,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 
 from .bpe import NONE, HashTable, PairMerger, _codepoints
-from .textbatch import Block, SpanHasher, blocks, mix
+from .textbatch import Block, blocks, distinct, quoted
 
 SPACE = 0x2581
 LONG = 256
@@ -34,10 +34,6 @@ LONG = 256
 PAIRS = 1 << 20
 
 
-def _hashes(points: np.ndarray) -> SpanHasher:
-    return SpanHasher(mix(points.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03) + np.uint64(1)))
-
-
 class PrefixCounter:
     def __init__(self, path: str) -> None:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -69,12 +65,26 @@ class PrefixCounter:
         self.points = points
         # pieces that the merges can't make never end a prefix
         made = self._join(np.arange(len(self.texts)), None)
-        hashed = _hashes(points)(self.begin, self.begin + self.size) >> np.uint64(1)
-        self._pieces = HashTable(len(self.texts))
-        self._pieces.put(hashed[made].astype(np.int64), np.flatnonzero(made).astype(np.int32))
+        self._grow([(k, self.texts[k]) for k in np.flatnonzero(made).tolist()])
         self._reach = {p for p, ok in zip(self.texts, made.tolist(), strict=True) if ok}
         self._agree = HashTable(PAIRS)
 
+    def _grow(self, pieces: list[tuple[int, str]]) -> None:
+        """A tree of characters: `_next` leads from node and character to the next node, `_ends` has the piece that ends there, or -1."""
+        nodes: dict[tuple[int, str], int] = {}
+        ends = [-1]
+        for k, piece in pieces:
+            at = 0
+            for c in piece:
+                if (at, c) not in nodes:
+                    nodes[at, c] = len(ends)
+                    ends.append(-1)
+                at = nodes[at, c]
+            ends[at] = k
+        self._ends = np.array(ends, np.int32)
+        self._next = HashTable(len(nodes))
+        self._next.put(np.array([at << 21 | ord(c) for at, c in nodes], np.int64), np.array(list(nodes.values()), np.int32))
+
     def spaces(self, n: np.ndarray) -> np.ndarray:
         """Tokens of runs of n spaces: pieces of the greatest length, then those of what is left."""
         return n // self.longest_space + self.space_runs[n % self.longest_space]
@@ -110,20 +120,24 @@ class PrefixCounter:
             known[new] = values[np.searchsorted(fresh, keys[new])]
         return known == 1
 
-    def _pass(self, hasher: SpanHasher, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _pass(self, points: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Counts at every position of the segments (row by row), and whether the encoding begins with a bare space."""
         width = int(size.max())
         row_of = np.repeat(np.arange(len(size)), size)
         within = np.arange(len(row_of)) - np.repeat(np.cumsum(size) - size, size)
         place = begin[row_of] + within
         ends, lens, rows, toks = [], [], [], []
+        alive, node = np.arange(len(row_of)), np.zeros(len(row_of), np.int64)
         for n in range(1, min(self.longest, width) + 1):
-            ok = within + n <= size[row_of]
-            s = place[ok]
-            token = self._pieces.get((hasher(s, s + n) >> np.uint64(1)).astype(np.int64))
-            hit = token != NONE
-            rows.append(row_of[ok][hit]), toks.append(token[hit])
-            ends.append(within[ok][hit] + n), lens.append(np.full(int(hit.sum()), n))
+            ok = within[alive] + n <= size[row_of[alive]]
+            alive = alive[ok]
+            node = self._next.get(node[ok] << 21 | points[place[alive] + n - 1].astype(np.int64))
+            ok = node != NONE
+            alive, node = alive[ok], node[ok].astype(np.int64)
+            token = self._ends[node]
+            hit = token >= 0
+            rows.append(row_of[alive[hit]]), toks.append(token[hit])
+            ends.append(within[alive[hit]] + n), lens.append(np.full(int(hit.sum()), n))
         ends, lens, rows, toks = map(np.concatenate, (ends, lens, rows, toks))
         order = np.argsort(ends, kind="stable")
         ends, lens, rows, toks = ends[order], lens[order], rows[order], toks[order]
@@ -164,9 +178,7 @@ class PrefixCounter:
 
     def _segments(self, points: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Per segment the place of its first entry in the flat counts, which equal segments share; counts and bare flags."""
-        hasher = _hashes(points)
-        hashed = hasher(begin, end)
-        _, some, own = np.unique(hashed, return_index=True, return_inverse=True)
+        some, own, _ = distinct(points.astype("<u4").view(np.uint8), 4 * begin, 4 * end)
         size = (end - begin)[some]
         order = np.argsort(size, kind="stable")
         counts, bares, at, done, k = [], [], np.zeros(len(some), np.int64), 0, 0
@@ -175,7 +187,7 @@ class PrefixCounter:
             low = int(size[order[k]])
             to = min(short, int(np.searchsorted(size[order], max(low + low // 4, 8), "right")), k + max(1, 400_000 // max(low, 1)))
             rows = order[k:to]
-            c, b = self._pass(hasher, begin[some[rows]], size[rows])
+            c, b = self._pass(points, begin[some[rows]], size[rows])
             at[rows] = done + np.cumsum(size[rows]) - size[rows]
             counts.append(c), bares.append(b)
             done, k = done + len(c), to
@@ -304,8 +316,8 @@ def prefix_counts(docs: DataFrame, model_path: str, text: str = "text", key: str
                 counts = pa.array([counter.prefixes(value or "").astype(np.int32)], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), counts], [key, "counts"])
 
-    picked = docs.select(key, text)
-    return picked.mapInArrow(run, f"{key} {picked.dtypes[0][1]}, counts array<int>")
+    picked = docs.select(quoted(key), quoted(text))
+    return picked.mapInArrow(run, f"{quoted(key)} {picked.dtypes[0][1]}, counts array<int>")
 
 
 def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -321,5 +333,5 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, text: str
                     [key, "n_bytes", "n_tokens", "over_limit"],
                 )
 
-    picked = docs.select(key, text)
-    return picked.mapInArrow(run, f"{key} {picked.dtypes[0][1]}, n_bytes long, n_tokens long, over_limit boolean")
+    picked = docs.select(quoted(key), quoted(text))
+    return picked.mapInArrow(run, f"{quoted(key)} {picked.dtypes[0][1]}, n_bytes long, n_tokens long, over_limit boolean")
