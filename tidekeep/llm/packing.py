@@ -1,31 +1,40 @@
-"""Best-fit packing of token sequences, in rounds that the driver plans over the histogram of lengths.
-
-The plan takes the place of distributed successor sweeps over tables of pieces and gaps:
-it needs only the counts of at most `CAPACITY` lengths.  Gaps are ranges on the driver.
+"""Bulk-synchronous best-fit packing of token sequences.
 
 Documents are tokenized, and only those beyond the capacity are cut: into pieces of full
 capacity, the first piece taking what is over.  Pieces are range-sorted by length, so that
-each gets its rank among those of its length from counts by partition.  Packing goes down
-the lengths.  In a round, pieces of one length meet the least gap that holds them, its
-successor among all gaps; the piece of rank r takes the r-th such gap, so no two pieces
-want the same one; gaps shrink, and rounds repeat until the pieces are placed or no gap
-holds them and new sequences open.  As pieces of one length and gaps of one size are
-interchangeable, a round moves whole ranges of ranks, and the plan of all rounds is a table
-of ranges whose size depends on the capacity and not on the number of pieces.  Every task
-looks its pieces up in that table.
+each has its rank among those of its length from counts by partition.
+
+Packing goes in rounds over a table of gaps, a row for each open sequence with room.  In a
+round the gaps are range-sorted by size, and each gets its rank among those of its size.
+Then, from the longest length down, pieces sweep to their successor, the least gap size
+that holds them, and from there upwards: pieces and gaps meet by rank, so that no two
+pieces want the same place, and a gap takes as many of one length as fit.  The sweep needs
+the counts by length and by size only, at most `CAPACITY` each; every task then looks the
+gaps up that it holds, places the pieces and hands on what is left of the gap.  Lengths
+take part in classes, each down to half the last, and a class meets until all its pieces
+have a place.  Sequences open as fast as the tokens that are left, or pieces longer than
+every gap, need them for certain.
+
+Between rounds the table of gaps is written to the shared folder.  A gap takes a piece or
+more in each round that its class has pieces for it, so that there are some rounds for each
+halving, whatever the number of documents.
 
 Null and empty texts are one piece, the end token alone.  Repeated rows are pieces of their
-own; an empty table gives no rows.  Sequence numbers are 0 to n - 1.
+own; an empty table gives no rows.  Pieces of one length are dealt by a hash of their row,
+so that copies don't gather.
 """
 
 from __future__ import annotations
 
+import bisect
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
@@ -33,6 +42,10 @@ from .shared import cut
 from .textbatch import blocks, quoted
 
 CAPACITY = 1024
+#: Lengths up to this one are the last class.
+LAST_CLASS = 16
+#: Gaps in a partition.
+GAP_ROWS = 50_000
 _ROW = (1 << 33) - 1
 
 
@@ -65,84 +78,159 @@ def pieces(docs: DataFrame, tokenizer_path: str, end: int, capacity: int = CAPAC
     return picked.mapInArrow(run, f"{quoted(key)} {picked.dtypes[0][1]}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
-    """Ranges (length, first rank, after last rank, first sequence, offset) that place `counts` pieces by length.
+@dataclass(frozen=True)
+class Meeting:
+    """`gaps` gaps of `size`, from rank `first_gap`, take `each` pieces of `length`, from rank `first_piece`.
 
-    The piece of rank r goes to sequence first sequence + (r - first rank).
+    Gap number j of them takes the pieces first_piece + j * each, and on.
     """
-    placed: list[tuple[int, int, int, int, int]] = []
-    gaps: dict[int, list[tuple[int, int]]] = {}  # by size: ranges (first sequence, number)
-    opened = 0
-    for length in sorted(counts, reverse=True):
-        left, rank = counts[length], 0
-        sizes = sorted(g for g in gaps if g >= length)
-        while left:
-            if not sizes:  # no gap holds them: open sequences enough for the rest
-                need = -(-left // (capacity // length))
-                gaps.setdefault(capacity, []).append((opened, need))
-                opened += need
-                sizes = [capacity]
-            size = sizes[0]
-            sequence, number = gaps[size].pop()
-            fits = size // length
-            used = min(number, -(-left // fits))
-            if used < number:
-                gaps[size].append((sequence + used, number - used))
-            if not gaps[size]:
-                del gaps[size]
-                sizes.pop(0)
-            # rounds: each puts one more piece into every sequence of the range
-            for k in range(fits):
-                now = min(used, left)
-                if now:
-                    placed.append((length, rank, rank + now, sequence, capacity - size + k * length))
-                    rank, left = rank + now, left - now
-                rest = size - (k + 1) * length if now else size - k * length
-                if now < used:  # the last round ended among these sequences
-                    rest_long = size - k * length
-                    if rest_long:
-                        gaps.setdefault(rest_long, []).append((sequence + now, used - now))
-                    if rest < rest_long and now and rest:
-                        gaps.setdefault(rest, []).append((sequence, now))
-                    break
-            else:
-                if size - fits * length:
-                    gaps.setdefault(size - fits * length, []).append((sequence, used))
-            sizes = sorted(g for g in gaps if g >= length)
-    return placed
+
+    length: int
+    first_piece: int
+    size: int
+    first_gap: int
+    each: int
+    gaps: int
+
+
+def sweep(pieces: dict[int, int], gaps: dict[int, int], placed: dict[int, int]) -> list[Meeting]:
+    """Where pieces (number by length) meet gaps (number by size), the longest first, each in the least size that holds it."""
+    sizes, met, out = sorted(gaps), dict.fromkeys(gaps, 0), []
+    for length in sorted(pieces, reverse=True):
+        left, rank = pieces[length], placed.get(length, 0)
+        at = bisect.bisect_left(sizes, length)
+        while left and at < len(sizes):
+            size = sizes[at]
+            free = gaps[size] - met[size]
+            if not free:
+                at += 1
+                continue
+            each = min(size // length, left)
+            some = min(free, left // each)
+            out.append(Meeting(length, rank, size, met[size], each, some))
+            met[size] += some
+            rank, left = rank + each * some, left - each * some
+    return out
+
+
+def _openings(left: dict[int, int], gaps: dict[int, int], floor: int, capacity: int) -> int:
+    """Sequences that are surely needed beyond those that are open: for all tokens, or for the pieces that no gap holds."""
+    tokens = sum(length * n for length, n in left.items()) - sum(size * n for size, n in gaps.items())
+    largest = max(gaps, default=0)
+    stuck = sum(length * n for length, n in left.items() if length > max(largest, floor))
+    return max(0, -(-tokens // capacity), -(-stuck // capacity))
+
+
+@dataclass(frozen=True)
+class Ranked:
+    """Rows in the order of a range sort by `by`: a row's rank among equals is its row number plus the shift of its partition."""
+
+    frame: DataFrame
+    by: str
+    counts: dict[int, int]
+    codes: np.ndarray
+
+    @classmethod
+    def of(cls, frame: DataFrame, by: str, ties: Column, parts: int) -> Ranked:
+        dealt = frame.repartitionByRange(parts, F.desc(by), ties).sortWithinPartitions(F.desc(by))
+        # row numbers by partition, fixed before the cut
+        rows = cut(dealt.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW))), tidy=False)
+        # a partition holds a range of values: at most partitions + capacity rows in all
+        groups = rows.groupBy("_part", by).agg(F.count("*").alias("n"), F.min("_row").alias("first")).collect()
+        counts: dict[int, int] = {}
+        codes = []
+        for part, value, n, first in sorted(groups):
+            codes.append((part << 32 | value, counts.get(value, 0) - first))
+            counts[value] = counts.get(value, 0) + n
+        return cls(rows, by, counts, np.array(sorted(codes), np.int64).reshape(-1, 2))
+
+    def rank(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """Values and ranks of a batch's rows."""
+        part, row, value = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("_part", "_row", self.by))
+        return value, row + self.codes[np.searchsorted(self.codes[:, 0], part << 32 | value), 1]
+
+
+def _met(gaps: Ranked, meetings: list[Meeting], capacity: int) -> tuple[DataFrame, DataFrame]:
+    """What the gaps take, (length, rank, sequence_id, offset), and what is left of them, (sequence_id, size)."""
+    table = np.array(sorted((m.size, m.first_gap, m.gaps, m.length, m.first_piece, m.each) for m in meetings), np.int64).reshape(-1, 6)
+    step = max(gaps.counts.values(), default=0) + 1
+    begin = table[:, 0] * step + table[:, 1]
+    codes = gaps.codes
+    rank = Ranked(None, "size", {}, codes).rank  # without the frame, for the tasks
+
+    def look(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        size, own = rank(batch)
+        at = np.searchsorted(begin, size * step + own, "right") - 1
+        hit = at >= 0
+        hit[hit] = (table[at[hit], 0] == size[hit]) & (own[hit] < table[at[hit], 1] + table[at[hit], 2])
+        return batch.column(0).to_numpy(), size, own, np.where(hit, at, -1)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sequence, size, own, at = look(batch)
+            rows = np.flatnonzero(at >= 0)
+            _, first_gap, _, length, first_piece, each = table[at[rows]].T
+            row = np.repeat(np.arange(len(rows)), each)
+            k = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
+            piece = first_piece[row] + (own[rows] - first_gap)[row] * each[row] + k
+            yield pa.RecordBatch.from_arrays([pa.array(length[row]), pa.array(piece), pa.array(sequence[rows][row]), pa.array(capacity - size[rows][row] + k * length[row])], ["length", "rank", "sequence_id", "offset"])
+
+    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sequence, size, _, at = look(batch)
+            size = size - np.where(at >= 0, table[at, 3] * table[at, 5], 0) if len(table) else size
+            yield pa.RecordBatch.from_arrays([pa.array(sequence[size > 0]), pa.array(size[size > 0])], ["sequence_id", "size"])
+
+    return gaps.frame.mapInArrow(placed, "length long, rank long, sequence_id long, offset long"), gaps.frame.mapInArrow(left, "sequence_id long, size long")
+
+
+def place(counts: dict[int, int], spark: SparkSession, capacity: int = CAPACITY) -> DataFrame | None:
+    """(length, rank, sequence_id, offset) of `counts` pieces by length, in rounds; None if there are none."""
+    left, done = dict(counts), dict.fromkeys(counts, 0)
+    sizes: dict[int, int] = {}
+    table, found, opened, floor = None, [], 0, capacity
+    while left:
+        floor = floor // 2 if floor > LAST_CLASS else 0
+        while taking := {length: n for length, n in left.items() if length > floor}:
+            more = _openings(left, sizes, floor, capacity)
+            if more:
+                new = spark.range(opened, opened + more, 1, max(1, more // GAP_ROWS)).select(F.col("id").alias("sequence_id"), F.lit(capacity).cast("long").alias("size"))
+                table, opened = new if table is None else table.unionByName(new), opened + more
+            gaps = Ranked.of(table, "size", F.xxhash64("sequence_id"), max(1, -(-(sum(sizes.values()) + more) // GAP_ROWS)))
+            meetings = sweep(taking, gaps.counts, done)
+            placed, table = _met(gaps, meetings, capacity)
+            found.append(placed)
+            sizes = dict(gaps.counts)
+            for m in meetings:
+                sizes[m.size] -= m.gaps
+                rest = m.size - m.each * m.length
+                sizes[rest] = sizes.get(rest, 0) + m.gaps
+                done[m.length] += m.each * m.gaps
+                left[m.length] -= m.each * m.gaps
+            sizes = {size: n for size, n in sizes.items() if n and size}
+            left = {length: n for length, n in left.items() if n}
+    return reduce(DataFrame.unionByName, found) if found else None
 
 
 def assign(cut_up: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """The rows of `pieces`, of which `length` counts, with sequence_id and offset."""
-    spark = cut_up.sparkSession
+    spark, names = cut_up.sparkSession, cut_up.columns
+    cut_up = cut(cut_up)  # a range sort reads its input twice; texts are tokenized once
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    keys = [c for c in cut_up.columns if c in ("piece", "start", "ids_crc32")]
-    ordered = cut_up.repartitionByRange(parts, F.desc("length"), *(F.xxhash64(*keys),) if keys else ()).sortWithinPartitions(F.desc("length"), *keys)
-    # row numbers by partition, fixed before the cut
-    ranked = cut(ordered.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW))))
-    # a partition holds a range of lengths: at most partitions + capacity rows in all
-    groups = ranked.groupBy("_part", "length").agg(F.count("*").alias("n"), F.min("_row").alias("first")).orderBy("length", "_part").collect()
-    counts: dict[int, int] = {}
-    before: dict[tuple[int, int], int] = {}
-    for part, length, n, first in groups:
-        before[part, length] = counts.get(length, 0) - first
-        counts[length] = counts.get(length, 0) + n
-    table = np.array(sorted(plan(counts, capacity)), np.int64).reshape(-1, 5)
-    codes = np.array(sorted((part << 32 | length, shift) for (part, length), shift in before.items()), np.int64).reshape(-1, 2)
-    step = max(counts.values(), default=0) + 1
-    starts = table[:, 0] * step + table[:, 1]
-    names = cut_up.columns
+    pieces = Ranked.of(cut_up, "length", F.xxhash64(*(quoted(c) for c in names if c != "ids")), parts)
+    codes = Ranked(None, "length", {}, pieces.codes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            part, row, length = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("_part", "_row", "length"))
-            rank = row + codes[np.searchsorted(codes[:, 0], part << 32 | length), 1]
-            at = np.searchsorted(starts, length * step + rank, "right") - 1
-            columns = [batch.column(k) for k, name in enumerate(batch.schema.names) if name not in ("_part", "_row")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(table[at, 3] + rank - table[at, 1]), pa.array(table[at, 4])], [*names, "sequence_id", "offset"])
-
-    kinds = ", ".join(f"`{name}` {kind}" for name, kind in cut_up.dtypes)
-    return ranked.mapInArrow(run, f"{kinds}, sequence_id long, offset long")
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), pa.array(codes.rank(batch)[1])], [*names, "_rank"])
+
+    kinds = ", ".join(f"{quoted(name)} {kind}" for name, kind in cut_up.dtypes)
+    ranked = pieces.frame.mapInArrow(run, f"{kinds}, _rank long")
+    placed = place(pieces.counts, spark, capacity)
+    if placed is None:
+        return cut_up.withColumns({"sequence_id": F.lit(None).cast("long"), "offset": F.lit(None).cast("long")})
+    placed = placed.select(F.col("length").alias("_length"), F.col("rank").alias("_at"), "sequence_id", "offset")
+    return ranked.join(placed, (F.col("length") == F.col("_length")) & (F.col("_rank") == F.col("_at"))).select(*map(quoted, names), "sequence_id", "offset")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, end: int, capacity: int = CAPACITY, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -20,10 +20,10 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def cut(frame: DataFrame) -> DataFrame:
+def cut(frame: DataFrame, tidy: bool = True) -> DataFrame:
     """The frame, computed once and read back from the shared folder; lost executors don't undo it."""
     checkpoint_folder(frame.sparkSession)
-    # shuffle files of what was cut before go when the driver collects its garbage; ask for it while nothing runs
-    gc.collect()
-    frame.sparkSession.sparkContext._jvm.System.gc()
+    if tidy:  # shuffle files of what was cut before go when the driver collects its garbage; ask for it while nothing runs
+        gc.collect()
+        frame.sparkSession.sparkContext._jvm.System.gc()
     return frame.checkpoint()
