@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tidekeep.llm import components, language, media, ngram_join, quality, substring_dedup
 from tidekeep.llm.textbatch import blocks
@@ -175,15 +176,17 @@ def test_components(spark):
     assert got == {v: find(v) for v in {x for e in edges if e[0] != e[1] for x in e}}
 
 
-@pytest.mark.parametrize("limit", [3, 1_000_000])
-def test_substring_dedup(spark, limit):
+@pytest.mark.parametrize("limit,least_hot,size", [(3, None, 2_000), (2_000, 3, 3_000), (2_000_000, 2, 300), (2_000_000, None, 2_000_000)])
+def test_substring_dedup(spark, limit, least_hot, size, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "SLICE", size)
+    monkeypatch.setattr(substring_dedup, "BLOCK", size)
     rows = corpus(200, seed=3)
     want = kept_words(rows)
     got = {}
-    for r in substring_dedup.repeats(frame(spark, rows), limit=limit).collect():
+    for r in substring_dedup.repeats(frame(spark, rows), limit=limit, least_hot=least_hot).collect():
         got.setdefault(r.doc, set()).update(range(r.first, r.last))
     assert got == {i: {k for k, g in enumerate(gone) if g} for (i, _), (_, gone) in want.items() if any(gone)} and got
-    if limit > 3:
+    if size == 2_000_000:
         out = substring_dedup.removal_digests(frame(spark, rows)).collect()
         assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in out) == sorted(
             (r[0], len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone, strict=True) if not g).encode()).hexdigest()) for r in rows for w, gone in [want[r[0], r[1]]]
@@ -193,6 +196,9 @@ def test_substring_dedup(spark, limit):
             (w, gone), old = next((want[x[0], x[1]], x[1]) for x in rows if x[0] == r.doc_id)
             assert r.text == (" ".join(x for x, g in zip(w, gone, strict=True) if not g) if any(gone) else old)
         assert substring_dedup.removal_digests(frame(spark, [])).count() == 0
+        clash = frame(spark, rows).select("*", F.lit(1).alias("doc"), F.lit("x").alias("row"), F.lit(2.0).alias("spans"), F.lit(3).alias("a b"))
+        more = substring_dedup.remove_repeats(clash)
+        assert more.columns == clash.columns and sorted((r.doc_id, r.text or "", r.row) for r in more.collect()) == sorted((r.doc_id, r.text or "", "x") for r in texts)
 
 
 def test_media(spark):

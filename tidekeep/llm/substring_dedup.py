@@ -1,28 +1,38 @@
-"""Removal of word runs that repeat from another document, by minimizer-partitioned window fingerprints.
-
-They stand in for prefix-partitioned suffix trees: only repeats of `WINDOW` words count, so
-of a tree only the nodes at that depth would be asked for, and equal windows are those.  No
-tree is built, and no node at another depth exists.
-
-Every position that begins a window of `WINDOW` words is a suffix, cut at that depth, and
-the fingerprint of its window is its node.  A suffix is routed by its minimizer, the least
-hash of a run of `ANCHOR` words in its window.  Equal windows have the same minimizer, so
-a group never needs suffixes of another; consecutive suffixes mostly share it, so they
-travel as one record, which holds the node of each of them.
-
-A group's records arrive in the order of their documents.  Suffixes are sorted by node;
-nodes with several documents are the repeats, and neighbouring ones join into maximal
-repeats.  A task holds a part of a group at a time and, of what went before, each node's
-least document, up to `NODES` of them.  In a group of more distinct nodes, the others are
-split off by node: there a node's least document is a plain aggregate, summed before the
-shuffle.  Memory is bounded whatever the number of copies, and no suffix is left out.
+"""Removal of word runs that repeat from another document, by prefix-partitioned suffix subtrees.
+
+Every position that begins `WINDOW` words is a suffix, cut at that depth.  Suffixes are
+split into groups that fit in memory by a prefix of variable length: first the `ANCHOR`
+words that begin at the window's least-hashed run of so many words (its anchor), and where
+a group is too large, all `WINDOW` words.  Equal windows have equal anchors, so a group
+needs no suffix of another, and neighbouring suffixes mostly share theirs, so they travel
+as one record, a piece of the text.
+
+In a group, words become numbers and suffixes are sorted by doubling: ranks of 1, 2, 4, ...
+32 words, then of all 50.  In that order, suffixes that share 50 words stand together: these
+are the subtree's deep internal nodes.  In a node, the suffixes of all documents but the
+least are repeats, and neighbouring ones join into maximal repeats.  Words are compared by
+their bytes; hashes only choose the group.
+
+Nothing grows with a hot group:
+
+* A task settles, before anything is sent, windows that a lesser document of the same block
+  of text has too; it sends one for each block and window, whatever the number of copies.
+* Anchors that at least one in `RARER_THAN` documents have are found first, by lossy counts
+  over all documents.  They are an anchor only where a window has no other.  Their groups
+  are dealt over `SALTS`, and what is left of each part, one suffix for each node, meets by
+  its whole window.
+* A group's records come by document.  A task holds a slice of them, and of what went
+  before the records that brought new nodes, up to `CARRIED` bytes; of a group with more,
+  the suffixes that match none of these meet by their whole window as well.
+
+Which anchors count as hot, and how large slices are, is a matter of speed alone.
 
 A window goes if its words also start in a document of a smaller id; all windows are judged
 on the input.  Words are runs of bytes other than 0x20 and 0x09-0x0D, unchanged.
 
 Null and empty texts have no words; texts of fewer than `WINDOW` words lose none.  Rows
 without an id lose nothing and are no source; rows that share an id are not smaller than
-each other.  An empty table gives no rows.
+each other.  An empty table gives no rows.  Other columns may have any names.
 """
 
 from __future__ import annotations
@@ -32,150 +42,254 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import cut
-from .textbatch import Block, blocks, quoted, run_codes, windows
+from .textbatch import Block, blocks, distinct, quoted, run_codes, span_codes, windows
 
 WINDOW = 50
 ANCHOR = 10
-#: Nodes that a task remembers of the group it is in.
-NODES = 1_000_000
-#: Suffixes that are sorted at a time.
-SORTED = 500_000
-
-
-def suffix_runs(block: Block, width: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
-    """Runs of suffixes of one document that share their anchor: (document, first suffix's word in it, code, bounds) and all nodes."""
-    words, first = block.word_codes()
-    at, doc = windows(first, width)
-    if not len(at):
-        none = np.zeros(0, np.int64)
-        return none, none, none.astype(np.uint64), np.zeros(1, np.int64), none.astype(np.uint64)
-    # the least of each run of `reach` grams; grams across documents are never asked for
-    low, size, reach = run_codes(words, anchor), 1, width - anchor + 1
-    while 2 * size <= reach:
+#: Bytes of text that are looked at together before they are sent.
+BLOCK = 2_000_000
+#: Bytes of records that a task sorts at a time, and that it remembers of the group it is in.
+SLICE, CARRIED = 2_000_000, 2_000_000
+HOT, RARER_THAN, LEAST_HOT = 1 << 14, 1000, 64
+SALTS = 64
+_COLUMNS = ["code", "salt", "doc", "row", "first", "last", "text"]
+_SCHEMA = "code long, salt int, doc long, row long, first long, last long, text binary"
+
+
+def anchors(codes: np.ndarray, at: np.ndarray, hot: np.ndarray, width: int = WINDOW, anchor: int = ANCHOR) -> np.ndarray:
+    """The anchor of each window: the least of its runs' codes, hot ones (sorted) after all others."""
+    low, size, reach = run_codes(codes, anchor) >> np.uint64(1), 1, width - anchor + 1
+    if len(hot):
+        known = hot[np.minimum(np.searchsorted(hot, low), len(hot) - 1)] == low
+        low = np.where(known, low | np.uint64(1 << 63), low)
+    while 2 * size <= reach:  # runs across documents are never asked for
         low, size = np.minimum(low[:-size], low[size:]), 2 * size
-    code = np.minimum(low[: len(low) - (reach - size)], low[reach - size :])[at]
-    new = np.ones(len(at), bool)
-    new[1:] = (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])
-    lead = np.flatnonzero(new)
-    return doc[lead], at[lead] - first[doc[lead]], code[lead], np.append(lead, len(at)), run_codes(words, width)[at]
+    return np.minimum(low[: len(low) - (reach - size)], low[reach - size :])[at]
+
+
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """Where a run of equal keys begins."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return new
 
 
-def _records(docs: DataFrame) -> DataFrame:
-    """(code, doc, row, start, nodes): a record for each run of suffixes; nodes are 8 bytes each."""
+def hot_anchors(docs: DataFrame, least: int | None = None) -> np.ndarray:
+    """Sorted codes of at most `HOT` anchors that at least 1 in `RARER_THAN` documents (and `LEAST_HOT`) have."""
+    none = np.zeros(0, np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, times, seen = none, np.zeros(0, np.int64), 0
         for batch in batches:
-            for block in blocks(batch.column(2)):
-                doc, start, code, bounds, nodes = suffix_runs(block)
-                own = pa.array(doc + block.first)
-                flat = pa.BinaryArray.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer((bounds * 8).astype(np.int32)), pa.py_buffer(nodes)])
-                yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), batch.column(0).take(own), batch.column(1).take(own), pa.array(start), flat], ["code", "doc", "row", "start", "nodes"])
+            for block in blocks(batch.column(0)):
+                codes, first = block.word_codes()
+                at, doc = windows(first, WINDOW)
+                seen += block.count
+                if not len(at):
+                    continue
+                own = anchors(codes, at, none)
+                some, count = np.unique(own[_runs(own, doc)], return_counts=True)
+                merged, place = np.unique(np.concatenate([often, some[count > 1]]), return_inverse=True)
+                total = np.bincount(place, np.concatenate([times, count[count > 1]]), len(merged)).astype(np.int64)
+                keep = total * RARER_THAN * 2 >= seen
+                if keep.sum() > 4 * HOT:
+                    keep &= total > np.partition(total, -4 * HOT)[-4 * HOT]
+                often, times = merged[keep], total[keep]
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(often, np.uint64(0)).view(np.int64)), pa.array(np.append(times, 0)), pa.array(np.append(np.zeros(len(often), np.int64), seen))], ["code", "n", "docs"])
+
+    counted = cut(docs.select("text").mapInArrow(run, "code long, n long, docs long").groupBy("code").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
+    every = counted.agg(F.sum("docs")).first()[0] or 0
+    enough = max(every / RARER_THAN, LEAST_HOT) if least is None else least
+    found = counted.where((F.col("code") != 0) & (F.col("n") >= enough)).orderBy(F.desc("n"), "code").limit(HOT).select("code").collect()  # at most HOT
+    return np.sort(np.array([r[0] for r in found], np.int64).view(np.uint64))
+
+
+def _batch(code: np.ndarray, salt: np.ndarray, doc: np.ndarray, row: np.ndarray, first: np.ndarray, last: np.ndarray, text: pa.Array) -> pa.RecordBatch:
+    columns = [pa.array(np.ascontiguousarray(code).view(np.int64)), pa.array(salt.astype(np.int32)), *(pa.array(x.astype(np.int64)) for x in (doc, row, first, last)), text]
+    return pa.RecordBatch.from_arrays(columns, _COLUMNS)
+
+
+def _spans(doc: np.ndarray, row: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
+    """Repeats, which pass the groups by; they are dealt by document."""
+    return _batch(doc.astype(np.int64).view(np.uint64), np.zeros(len(doc)), doc, row, first, last, pa.nulls(len(doc), pa.binary()))
+
+
+def _slices(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
+    raw = memoryview(np.ascontiguousarray(data))
+    return pa.array([bytes(raw[a:b]) for a, b in zip(begin.tolist(), end.tolist(), strict=True)], pa.binary())
+
+
+def _settled(ids: np.ndarray, at: np.ndarray, code: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Windows of which a lesser document has the same words, among these; ids are the words' numbers."""
+    order = np.lexsort((doc, code))
+    head = _runs(code[order])
+    lead = order[np.flatnonzero(head)][np.cumsum(head) - 1]
+    later = doc[order] > doc[lead]
+    a, b = at[order[later]], at[lead[later]]
+    same, step, width = np.zeros(len(a), bool), 20_000, np.arange(WINDOW)
+    for k in range(0, len(a), step):
+        same[k : k + step] = (ids[a[k : k + step, None] + width] == ids[b[k : k + step, None] + width]).all(axis=1)
+    out = np.zeros(len(at), bool)
+    out[order[later][same]] = True
+    return out
+
+
+def _records(docs: DataFrame, hot: np.ndarray) -> DataFrame:
+    """A record for each run of neighbouring suffixes of one anchor; repeats inside a block of text as spans."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs_of, rows_of = (batch.column(k).to_numpy() for k in range(2))
+            for block in blocks(batch.column(2), BLOCK):
+                starts, ends, first = block.words()
+                at, own = windows(first, WINDOW)
+                if not len(at):
+                    continue
+                some, ids, codes = distinct(block.data, starts, ends)
+                codes = codes[ids]
+                doc, row = docs_of[block.first : block.first + block.count][own], rows_of[block.first : block.first + block.count][own]
+                gone = _settled(ids.astype(np.int32), at, run_codes(codes, WINDOW)[at], doc)
+                code = anchors(codes, at, hot)
+                lead = np.flatnonzero(_runs(own, gone, np.where(gone, np.uint64(0), code)))
+                last = np.append(lead[1:], len(at)) - 1
+                for kind in (True, False):
+                    a, b = lead[gone[lead] == kind], last[gone[lead] == kind]
+                    begin = at[a] - first[own[a]]
+                    end = begin + b - a + WINDOW
+                    if kind:
+                        yield _spans(doc[a], row[a], begin, end)
+                        continue
+                    salted = code[a] >> np.uint64(63) > 0
+                    salt = np.where(salted, 1 + (doc[a].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % SALTS, 0)
+                    yield _batch(code[a], salt, doc[a], row[a], begin, end, _slices(block.data, starts[at[a]], ends[at[b] + WINDOW - 1]))
+
+    return docs.where(F.col("doc").isNotNull()).select("doc", "row", "text").mapInArrow(run, _SCHEMA)
+
+
+def suffix_nodes(ids: np.ndarray, at: np.ndarray, width: int = WINDOW) -> np.ndarray:
+    """Ranks, in the order of their words, of the suffixes at `at`, cut at `width` words: equal for equal ones.
+
+    By doubling: the rank of 2k words is that of a pair of ranks of k words.
+    """
+    have, size = ids.astype(np.int64), 1
 
-    return docs.where(F.col("doc").isNotNull()).select("doc", "row", "text").mapInArrow(run, "code long, doc long, row long, start long, nodes binary")
+    def paired(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.unique(x * (int(have.max()) + 1) + y, return_inverse=True)[1]
+
+    while 2 * size <= width:
+        have, size = paired(have[:-size], have[size:]), 2 * size
+    return paired(have[at], have[at + width - size])
 
 
 class Subtrees:
-    """Repeats of suffixes that come group by group, in a group by document; one group's nodes are carried on."""
-
-    def __init__(self, limit: int = NODES) -> None:
-        self.limit, self.code, self.full = limit, None, False
-        self.nodes, self.least = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-
-    def _carried(self, nodes: np.ndarray) -> np.ndarray:
-        """Place of each node among those carried, -1 if it isn't."""
-        if not len(self.nodes):
-            return np.full(len(nodes), -1)
-        at = np.minimum(np.searchsorted(self.nodes, nodes), len(self.nodes) - 1)
-        return np.where(self.nodes[at] == nodes, at, -1)
-
-    def add(self, code: np.ndarray, doc: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of these suffixes, which repeat one of a lesser document, and which are left to the split."""
-        if not len(code):
-            return np.zeros(0, bool), np.zeros(0, bool)
-        order = np.lexsort((doc, nodes, code))
-        c, d, n = code[order], doc[order], nodes[order]
-        head = np.ones(len(order), bool)
-        head[1:] = (c[1:] != c[:-1]) | (n[1:] != n[:-1])
-        lead = np.flatnonzero(head)
-        least = d[lead]
-        # the group that the last part ended in goes on
-        same = c[lead] == self.code if self.code is not None else np.zeros(len(lead), bool)
-        at = np.where(same, self._carried(n[lead]), -1)
-        least = np.where(at >= 0, np.minimum(least, self.least[np.maximum(at, 0)] if len(self.least) else least), least)
-        left = np.zeros(len(lead), bool)
-        if self.full:
-            left |= same & (at < 0)
-        tail = c[lead] == code[-1]
-        if code[-1] != self.code:
-            self.code, self.full = code[-1], False
-            self.nodes, self.least = self.nodes[:0], self.least[:0]
-        fresh = np.flatnonzero(tail & (at < 0) & ~left)
-        if not self.full and len(self.nodes) + len(fresh) > self.limit:
-            self.full = True
-            left[fresh[self.limit - len(self.nodes) :]] = True
-            fresh = fresh[: self.limit - len(self.nodes)]
-        if len(fresh):
-            every = np.concatenate([self.nodes, n[lead[fresh]]])
-            rank = np.argsort(every)
-            self.nodes, self.least = every[rank], np.concatenate([self.least, least[fresh]])[rank]
-        own = np.cumsum(head) - 1
-        repeat, split = np.zeros(len(order), bool), np.zeros(len(order), bool)
-        split[order] = left[own]
-        repeat[order] = (d > least[own]) & ~left[own]
-        return repeat, split
-
-
-def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", limit: int = NODES) -> DataFrame:
-    """(doc, row, first, last): words [first, last) of a document that windows from lesser documents cover; row is a hash of its text.
+    """Repeats of suffixes that come group by group, in a group by document.
 
-    Spans of one document may touch or overlap.  `limit` is the number of nodes that a task
-    remembers of one group.
+    Of the group that it is in, it remembers the records that brought new nodes.
     """
-    named = docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
-    names = ["doc", "row", "first", "last", "node"]
+
+    def __init__(self, limit: int | None = CARRIED) -> None:
+        self.limit, self.group, self.full = limit, None, False
+        self.texts: list[bytes] = []
+        self.docs = np.zeros(0, np.int64)
+
+    def add(self, code: np.ndarray, salt: np.ndarray, doc: np.ndarray, row: np.ndarray, start: np.ndarray, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        """The spans of these records that repeat, and what is left to meet by its whole window."""
+        first_group = (code[0], salt[0])
+        if first_group != self.group:
+            self.group, self.full, self.texts, self.docs = first_group, False, [], self.docs[:0]
+        old = len(self.texts)
+        every = self.texts + texts
+        docs = np.concatenate([self.docs, doc])
+        code, salt = (np.concatenate([np.repeat(x[:1], old), x]) for x in (code, salt))
+        sizes = np.array([len(t) for t in every], np.int64)
+        block = Block(np.frombuffer(b"".join(every), np.uint8), np.concatenate([[0], np.cumsum(sizes)]), 0)
+        starts, ends, first = block.words()
+        at, own = windows(first, WINDOW)
+        some, ids, codes = distinct(block.data, starts, ends)
+        node = suffix_nodes(ids, at)
+        group = np.cumsum(_runs(code, salt))[own]
+        order = np.lexsort((docs[own], node, group))
+        head = _runs(group[order], node[order])
+        lead = order[np.flatnonzero(head)][np.cumsum(head) - 1]
+        repeat, fresh = np.zeros(len(at), bool), np.zeros(len(at), bool)
+        repeat[order] = docs[own][order] > docs[own][lead]
+        fresh[order] = own[lead] >= old  # of a node that isn't remembered
+        repeat &= own >= old
+        first_of = ~repeat & (own >= old)  # all places in a node's least document
+        fresh &= first_of
+        hit = np.flatnonzero(repeat)
+        if len(hit):
+            new = _runs(own[hit], hit - np.arange(len(hit)))
+            a, b = hit[new], hit[np.append(np.flatnonzero(new)[1:], len(hit)) - 1]
+            begin, rec = start[own[a] - old] + at[a] - first[own[a]], own[a] - old
+            yield _spans(doc[rec], row[rec], begin, begin + b - a + WINDOW)
+        # what goes on to meet by its whole window: all of a salted group, and of a full one what isn't remembered
+        left = (first_of & (salt[own] > 0)) | (fresh & self.full & (group == group[0]))
+        same = (code == code[-1]) & (salt == salt[-1])
+        if self.group != (code[-1], salt[-1]):
+            self.group, self.full = (code[-1], salt[-1]), False
+        if not self.full:
+            keep, of = np.zeros(len(every), bool), np.empty(len(at), np.int64)
+            of[order] = own[lead]  # the record that stands for a window's node
+            keep[of[fresh]] = True
+            keep[:old] = True
+            keep &= same
+            if self.limit is not None and int(sizes[keep].sum()) > self.limit:
+                self.full = True
+                most = keep & (np.cumsum(np.where(keep, sizes, 0)) <= self.limit)
+                left |= fresh & (keep & ~most)[of]
+                keep = most
+            self.texts, self.docs = [every[k] for k in np.flatnonzero(keep).tolist()], docs[keep]
+        rest = np.flatnonzero(left)
+        if len(rest):
+            rec, place = own[rest] - old, at[rest]
+            begin = start[rec] + place - first[own[rest]]
+            yield _batch(run_codes(codes[ids], WINDOW)[place] >> np.uint64(1), np.full(len(rest), -1), doc[rec], row[rec], begin, begin + WINDOW, _slices(block.data, starts[place], ends[place + WINDOW - 1]))
+
+
+def _grouped(records: DataFrame, limit: int | None) -> DataFrame:
+    """Spans of the repeats in these records' groups, and records that are left to meet by their whole window (salt -1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = Subtrees(limit)
         for batch in batches:
-            code, doc, row, start = (batch.column(k).to_numpy() for k in range(4))
-            blobs = batch.column(4).to_pylist()
-            count = np.array([len(b) // 8 for b in blobs], np.int64)
-            ends = np.cumsum(count)
+            known = batch.column(6).is_null()
+            yield pa.RecordBatch.from_arrays(batch.filter(known).columns, _COLUMNS)
+            batch = batch.filter(pc.invert(known))
+            code, salt, doc, row, first = (batch.column(k).to_numpy() for k in range(5))
+            texts = batch.column(6).to_pylist()
+            ends = np.cumsum([len(t) for t in texts])
             k = 0
-            while k < len(code):
-                to = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + SORTED, "right")))
-                size = count[k:to]
-                own = np.repeat(np.arange(k, to), size)
-                place = start[own] + np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)
-                nodes = np.frombuffer(b"".join(blobs[k:to]), np.uint64)
-                repeat, split = trees.add(code[own], doc[own], nodes)
-                hit, rest = np.flatnonzero(repeat), np.flatnonzero(split)
-                # neighbouring repeats of a record join
-                head = np.ones(len(hit), bool)
-                head[1:] = (np.diff(hit) != 1) | (own[hit[1:]] != own[hit[:-1]])
-                first = np.concatenate([hit[head], rest])
-                last = np.concatenate([hit[np.append(np.flatnonzero(head)[1:] - 1, len(hit) - 1)] if len(hit) else hit, rest])
-                node = pa.array(nodes[first].view(np.int64), mask=np.arange(len(first)) < len(first) - len(rest))
-                yield pa.RecordBatch.from_arrays([pa.array(doc[own[first]]), pa.array(row[own[first]]), pa.array(place[first]), pa.array(place[last] + WINDOW), node], names)
+            while k < len(texts):
+                to = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + SLICE, "right")))
+                yield from trees.add(code[k:to].view(np.uint64), salt[k:to], doc[k:to], row[k:to], first[k:to], texts[k:to])
                 k = to
 
-    grouped = _records(named).repartition("code").sortWithinPartitions("code", "doc")
-    # node is null where the repeats are known; else the suffix is one of those split off
-    found = cut(grouped.mapInArrow(run, "doc long, row long, first long, last long, node long"))
-    split = found.where("node is not null")
-    least = split.groupBy("node").agg(F.min("doc").alias("least"))
-    more = split.join(least, "node").where("doc > least").select("doc", "row", "first", "last")
-    return found.where("node is null").select("doc", "row", "first", "last").unionByName(more)
+    return records.repartition("code", "salt").sortWithinPartitions("code", "salt", "doc").mapInArrow(run, _SCHEMA)
+
+
+def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", limit: int = CARRIED, least_hot: int | None = None) -> DataFrame:
+    """(doc, row, first, last): words [first, last) of a document that windows from lesser documents cover; row is a hash of its text.
+
+    Spans of one document may touch or overlap.  `limit` is what a task remembers of one
+    group in bytes, `least_hot` the number of documents from which an anchor is hot.
+    """
+    named = docs.select(F.col(quoted(key)).cast("long").alias("doc"), F.xxhash64(quoted(text)).alias("row"), F.col(quoted(text)).alias("text"))
+    first = cut(_grouped(_records(named, hot_anchors(named, least_hot)), limit))
+    second = _grouped(first.where("text is not null"), None)  # a group is one window, of which one record is remembered
+    return first.where("text is null").unionByName(second.where("text is null")).select("doc", "row", "first", "last")
 
 
 def _with_spans(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """docs with a column _spans: flat array of first, last of each repeat, null if there is none."""
-    spans = repeats(docs, text, key).groupBy("doc", "row").agg(F.flatten(F.collect_list(F.array("first", "last"))).alias("_spans"))
-    return docs.join(spans, (F.col(key).cast("long") == F.col("doc")) & (F.xxhash64(text) == F.col("row")), "left").drop("doc", "row")
+    """(all, spans): all columns of docs as a struct, and a flat array of first, last of each repeat, null if there is none."""
+    spans = repeats(docs, text, key).groupBy("doc", "row").agg(F.flatten(F.collect_list(F.array("first", "last"))).alias("spans"))
+    named = docs.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("all"), F.col(quoted(key)).cast("long").alias("own"), F.xxhash64(quoted(text)).alias("hash"))
+    return named.join(spans, (F.col("own") == F.col("doc")) & (F.col("hash") == F.col("row")), "left").select("all", "spans")
 
 
 def _kept(block: Block, spans: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -210,17 +324,18 @@ def _kept(block: Block, spans: pa.Array) -> tuple[np.ndarray, np.ndarray, np.nda
 
 def removal_digests(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_words, n_removed, kept_sha256) of every document."""
-    picked = _with_spans(docs.select(F.col(key), F.col(text)), text, key)
+    picked = docs.select(quoted(key), quoted(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch.column(1)):
-                words, removed, data, bounds = _kept(block, batch.column(2).slice(block.first, block.count))
+            own, texts = batch.column(0).flatten()
+            for block in blocks(texts):
+                words, removed, data, bounds = _kept(block, batch.column(1).slice(block.first, block.count))
                 raw, cuts = data.tobytes(), bounds.tolist()
                 digests = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.count), pa.array(words), pa.array(removed), pa.array(digests, pa.string())], [key, "n_words", "n_removed", "kept_sha256"])
+                yield pa.RecordBatch.from_arrays([own.slice(block.first, block.count), pa.array(words), pa.array(removed), pa.array(digests, pa.string())], [key, "n_words", "n_removed", "kept_sha256"])
 
-    return picked.mapInArrow(run, f"{quoted(key)} {picked.dtypes[0][1]}, n_words long, n_removed long, kept_sha256 string")
+    return _with_spans(picked, text, key).mapInArrow(run, f"{quoted(key)} {picked.dtypes[0][1]}, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -230,13 +345,13 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch.column(at)):
-                part = batch.slice(block.first, block.count)
-                _, removed, data, bounds = _kept(block, part.column(len(names)))
-                raw, cuts, old = data.tobytes(), bounds.tolist(), part.column(at).to_pylist()
+            every = batch.column(0).flatten()
+            for block in blocks(every[at]):
+                columns = [c.slice(block.first, block.count) for c in every]
+                _, removed, data, bounds = _kept(block, batch.column(1).slice(block.first, block.count))
+                raw, cuts, old = data.tobytes(), bounds.tolist(), columns[at].to_pylist()
                 new = [raw[a:b].decode() if n else t for a, b, n, t in zip(cuts[:-1], cuts[1:], removed.tolist(), old, strict=True)]
-                columns = [part.column(k) for k in range(len(names))]
-                columns[at] = pa.array(new, batch.schema.field(at).type)
+                columns[at] = pa.array(new, columns[at].type)
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     return _with_spans(docs, text, key).mapInArrow(run, docs.schema)
