@@ -135,6 +135,47 @@ def test_near_duplicates_of_repeated_rows(spark, monkeypatch):
     assert {(r.doc_id, r.component_id) for r in got} == {(r[0], r[0] // 1000 * 1000) for r in rows}
 
 
+def _part(rng, n, keys, hot):
+    rows = []
+    for k in range(n):
+        own = sorted({*([7] if hot else []), *rng.sample(range(100, 100 + keys), rng.randint(1, 6))})
+        size = rng.randint(4, 12)
+        rows.append({"a": k * 2 + (n % 2), "c": rng.randrange(5), "n": size, "pure": rng.random() < 0.5, "rest": rng.randint(0, 6), "s": len(own) + rng.randint(0, 3), "keys": [{"key": x, "w": x % 3} for x in own]})
+    return rows
+
+
+@pytest.mark.parametrize("tile,held", [(64, 10), (1 << 21, 1 << 20)])
+def test_parts_of_a_home_meet_like_all_pairs(tile, held, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TILE", tile)
+    monkeypatch.setattr(ngram_join, "HELD", held)
+    rng = random.Random(3)
+    for hot in (False, True):
+        left, right = _part(rng, 40, 30, hot), _part(rng, 31, 30, hot)
+        x, y = (ngram_join.Part(pa.Table.from_pylist(rows)) for rows in (left, right))
+        for other, rows in ((None, left), (y, right)):
+            got = sorted(z for a, b, w in ngram_join.part_pairs(x, other) for z in zip(a.tolist(), b.tolist(), w.tolist(), strict=True))
+            want = []
+            for p in left:
+                for q in rows:
+                    mine, its = ({k["key"]: k["w"] for k in r["keys"]} for r in (p, q))
+                    both = set(mine) & set(its)
+                    w = sum(mine[k] for k in both)
+                    beyond = max(p["rest"], q["rest"]) if p["pure"] and q["pure"] else p["rest"] if p["pure"] else q["rest"] if q["pure"] else min(p["rest"], q["rest"])
+                    elsewhere = min(r["s"] - sum(k["w"] for k in r["keys"]) for r in (p, q))
+                    if both and p["c"] != q["c"] and (other or p["a"] < q["a"]) and 100 * min(p["n"], q["n"]) >= 75 * max(p["n"], q["n"]) and 175 * (w + elsewhere + beyond) >= 75 * (p["n"] + q["n"]):
+                        want.append((min(p["a"], q["a"]), max(p["a"], q["a"]), w))
+            assert got == sorted(want) and want
+
+
+def test_a_key_of_very_many_documents_stays_in_tiles():
+    n = 100_000
+    table = pa.table({"a": np.arange(n), "c": np.arange(n) // (n - 3), "n": np.full(n, 10), "pure": np.ones(n, bool), "rest": np.full(n, 9), "s": np.ones(n, int)})
+    lists = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32), pa.StructArray.from_arrays([pa.array(np.full(n, 5)), pa.array(np.ones(n, int))], ["key", "w"]))
+    part = ngram_join.Part(table.append_column("keys", lists).slice(n - 2000))
+    found = [x for x in ngram_join.part_pairs(part, None)]
+    assert sum(len(a) for a, _, _ in found) == 3 * 1997  # pairs of different components
+
+
 def test_prefix_keys_lose_no_link():
     rng = np.random.RandomState(0)
     links = 0
