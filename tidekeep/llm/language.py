@@ -7,8 +7,9 @@ over the document's profile, of how far each n-gram stands from its place in the
 profile, and `DEPTH` for one that it lacks.  The nearest language wins (ties: the first by
 name); the score is 1 minus the distance as a share of the greatest possible.
 
-Profiles are learned from a bounded sample: at most `PER_LANGUAGE` documents of each
-language, the least by a hash of their id.  Prediction reads the whole text and nothing else.
+Profiles are learned from a bounded sample: documents of each language by a hash of their
+id, as large a share as gives `PER_LANGUAGE` (all, if there are no more), of the `LANGUAGES`
+most frequent languages.  Prediction reads the whole text and nothing else.
 
 Texts that are null or have no letter get `und` and score 0; so does every text when there
 is nothing to learn from.  Equal texts get equal rows.
@@ -29,7 +30,8 @@ from .bpe import LETTER, _classes, _codepoints
 from .textbatch import Block, blocks, quoted
 
 DEPTH = 300
-PER_LANGUAGE = 1000
+#: Languages that are learned, the most frequent, and documents that each is learned from, about.
+LANGUAGES, PER_LANGUAGE = 1000, 1000
 BLANK = 0x20
 UNKNOWN = "und"
 
@@ -121,9 +123,10 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     """Profiles of all languages among the documents that aren't held out."""
     docs = docs.select(F.col(quoted(key)).alias("doc_id"), F.col(quoted(text)).alias("text"), F.col(quoted(lang)).alias("lang"))
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).where(F.col("place") <= PER_LANGUAGE).select("doc_id", "lang")
-    sample = usable.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("lang", "text")  # PER_LANGUAGE ids a language are sent
+    known = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    # a hash of the id below the language's share of all hashes
+    share = known.select("lang", (F.least(F.lit(1.0), PER_LANGUAGE / F.col("n")) * 2.0**62).alias("below"))
+    sample = usable.join(F.broadcast(share), "lang").where(F.shiftrightunsigned(F.xxhash64("doc_id"), 2) < F.col("below")).select("lang", "text")  # LANGUAGES rows are sent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
