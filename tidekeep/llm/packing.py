@@ -142,7 +142,7 @@ class Ranked:
         for part, value, n, first in sorted(groups):
             codes.append((part << 32 | value, counts.get(value, 0) - first))
             counts[value] = counts.get(value, 0) + n
-        return cls(rows, by, counts, np.array(sorted(codes), np.int64).reshape(-1, 2))
+        return cls(rows.coalesce(parts), by, counts, np.array(sorted(codes), np.int64).reshape(-1, 2))
 
     def rank(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         """Values and ranks of a batch's rows."""
