@@ -2,7 +2,8 @@ import random
 
 import pytest
 
-from tidekeep.functions.murmur import murmur3
+from pyspark.sql import functions as F
+from tidekeep.functions.murmur import murmur3_32
 from tidekeep.operators import btree, cache, epochs, merge, pruning, reads
 from tidekeep.operators.ranks import with_rank
 from tidekeep.schema import PAIRS
@@ -165,9 +166,12 @@ def test_clock_removal_reuses_the_slot():
 
 
 def test_murmur_and_buckets(spark):
-    assert murmur3([b"hello"])[0] == 0x248BFA47
+    known = {"hello": 0x248BFA47, "": 0, "test": 0xBA6BD213, "Hello, world!": 0xC0363E43, None: None}
+    texts = spark.createDataFrame([(t,) for t in known], "t string")
+    assert {r.t: r.h for r in texts.select("t", murmur3_32(F.col("t")).alias("h")).collect()} == known
     names = ["file1.db:0", "file1.db:4096", "file2.db:0", "sst_1.txt:0"]
-    assert list(murmur3([n.encode() for n in names])) == [3387226876, 3174138570, 2266902405, 3193323800]
+    hashed = {r.t: r.h for r in spark.createDataFrame([(n,) for n in names], "t string").select("t", murmur3_32(F.col("t")).alias("h")).collect()}
+    assert [hashed[n] for n in names] == [3387226876, 3174138570, 2266902405, 3193323800]
     assert [cache.bucket_count(n) for n in (1, 11, 16, 3328)] == [1, 16, 16, 4096]
     pages = spark.createDataFrame([("file1.db", 0), ("file1.db", 4096), ("file2.db", 0), ("sst_1.txt", 0)], "file_name string, offset long")
     assert {r.bucket for r in cache.with_bucket(pages, 3328).collect()} == {2812, 714, 3973, 280}

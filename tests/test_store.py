@@ -104,22 +104,26 @@ def test_stream(spark, tmp_path):
     s.close()
 
 
-SAMPLE = """# This is a comment
-
-next_sst_number=5
-# Another comment
-0,1,sst_1.txt,10,100,45
-
-1,2,sst_2.txt,5,95,90
-1,2,file.txt
-1,2,file.txt,10,20,30,40
-abc,2,file.txt,10,20,30
+SAMPLE = """# runs of a small store
+
+next_sst_number=9
+#
+0,8,sst_8.txt,3,77,61
+
+1,6,sst_6.txt,-4,70,118
+1,6,short.txt
+1,6,long.txt,1,2,3,4
+zero,6,word.txt,1,2,3
+0,7,wide.txt,99999999999,1,1
+-1,7,below.txt,1,2,2
+  2,9,edges.txt,1,2,2\t
+2, 9,inner.txt,1,2,2
 """
 
 
 def test_manifest(spark, tmp_path):
     m = Manifest.from_text(SAMPLE)
-    assert m.next_number == 5 and len(m.runs) == 2 and m.take_number() == 5 and m.next_number == 6
+    assert m.next_number == 9 and [r.sst_number for r in m.runs] == [8, 6, 9] and m.take_number() == 9 and m.next_number == 10
     one = RunMeta(2, 42, "sst_42.txt", -100, 500, 1234)
     assert RunMeta.from_line(one.to_line()) == one and one.to_line() == "2,42,sst_42.txt,-100,500,1234"
     assert Manifest.from_text(m.to_text()) == m and Manifest.from_text("next_sst_number=x").next_number == 1
@@ -129,7 +133,66 @@ def test_manifest(spark, tmp_path):
     with pytest.raises(ValueError):
         RunMeta(0, 1, "a,b", 1, 2, 3)
     parsed = manifest.parse_lines(spark.createDataFrame([(x,) for x in SAMPLE.split("\n")], "line string"))
-    assert {r.sst_number for r in parsed.collect()} == {1, 2}
+    assert {RunMeta(**r.asDict()) for r in parsed.collect()} == set(m.runs)
+
+
+class Stop(Exception):
+    pass
+
+
+@pytest.mark.parametrize("steps", range(7))
+def test_a_crash_after_any_step_loses_no_published_write(spark, tmp_path, steps, monkeypatch):
+    s = Store(spark, str(tmp_path), Options(capacity=2))
+    s.open("db")
+    s.insert(1, 10)
+    s.close()
+    s.open("db")
+    s.insert(1, 20)
+    s.insert(2, 5)
+    left = [steps]
+
+    def counted(name):
+        inner = getattr(s.files, name)
+
+        def call(*args):
+            if not left[0]:
+                raise Stop
+            left[0] -= 1
+            return inner(*args)
+
+        monkeypatch.setattr(s.files, name, call)
+
+    for name in ("write_text", "remove"):
+        counted(name)
+    ended = False
+    try:
+        s.insert(3, 7)  # the full memory table becomes a run
+        s.close()
+        ended = True
+    except Stop:
+        pass
+    t = Store(spark, str(tmp_path), Options(capacity=2))
+    t.open("db")
+    got = dict(pairs(t.scan(0, 9)))
+    assert got in ([{1: 20, 2: 5, 3: 7}] if ended else [{1: 10}, {1: 20, 2: 5}, {1: 20, 2: 5, 3: 7}])
+    assert got != {1: 10} or steps == 0
+    for k in range(4, 9):  # and it takes writes again
+        t.insert(k, k)
+    t.close()
+    t.open("db")
+    assert dict(pairs(t.scan(0, 9))) == got | {k: k for k in range(4, 9)}
+    t.close()
+
+
+def test_late_rows_of_a_stream_change_nothing(spark, tmp_path):
+    source = tmp_path / "in"
+    s = Store(spark, str(tmp_path))
+    s.open("db")
+    for k, rows in enumerate([[(5, 1, 50), (6, 2, 60)], [(3, 1, 30), (7, 2, 70), (2, 3, 20)], [(4, 1, 40), (1, 3, 10), (9, 3, 90)]]):
+        spark.createDataFrame(rows, "seq long, key int, value int").coalesce(1).write.parquet(str(source / f"part{k}"))
+        ingest(spark.readStream.schema("seq long, key int, value int").parquet(str(source / "*")), s, str(tmp_path / "cp")).awaitTermination()
+    assert pairs(s.scan(0, 9)) == [(1, 50), (2, 70), (3, 90)]
+    s.close()
 
 
 def test_files(spark, tmp_path):

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,16 +22,15 @@ def leaf_pages(pairs: DataFrame, leaf_pairs: int = LEAF_PAIRS) -> DataFrame:
 def internal_levels(pairs: DataFrame, leaf_pairs: int = LEAF_PAIRS, fanout: int = FANOUT) -> DataFrame:
     """(level, node, max_key): leaves are level 0, and every `fanout` nodes have one above, up to a single root.
 
-    The number of levels is the logarithm of the leaves, which one count tells beforehand.
+    Every leaf names its ancestors by arithmetic on its number, so that all levels are one
+    aggregate over the leaves.  How many levels there are follows from a count.
     """
-    leaves = leaf_pages(pairs, leaf_pairs).select(F.col("page").alias("node"), "max_key")
-    nodes = -(-pairs.count() // leaf_pairs)
-    levels = [leaves]
-    while nodes > 1:
-        below = levels[-1]
-        levels.append(below.groupBy(F.floor(F.col("node") / fanout).cast("int").alias("node")).agg(F.max("max_key").alias("max_key")))
-        nodes = -(-nodes // fanout)
-    return reduce(DataFrame.unionByName, [x.select(F.lit(k).alias("level"), "node", "max_key") for k, x in enumerate(levels)])
+    leaves, height = -(-pairs.count() // leaf_pairs), 0
+    while -(-leaves // fanout**height) > 1:
+        height += 1
+    above = F.explode(F.transform(F.sequence(F.lit(0), F.lit(height)), lambda k: F.struct(k.alias("level"), F.floor(F.col("page") / F.pow(F.lit(float(fanout)), k)).cast("int").alias("node"))))
+    named = leaf_pages(pairs, leaf_pairs).select("max_key", above.alias("n"))
+    return named.groupBy("n.level", "n.node").agg(F.max("max_key").alias("max_key")).select("level", "node", "max_key")
 
 
 def separators(pairs: DataFrame, leaf_pairs: int = LEAF_PAIRS, fanout: int = FANOUT) -> DataFrame:

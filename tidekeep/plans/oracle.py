@@ -1,4 +1,4 @@
-"""The same queries as SQL for DuckDB.  Sequential simulations (CLOCK, hash buckets) have none."""
+"""The same queries as SQL for DuckDB.  The sequential simulation of CLOCK has none."""
 
 from __future__ import annotations
 
@@ -43,6 +43,10 @@ _STORES = "WITH RECURSIVE " + ",\n".join(_ONE_STORE.format(k) for k in range(1,
     f"SELECT {k} AS store, (SELECT count(*) FROM ep{k} WHERE t IS NOT NULL AND t < (SELECT max(seq) FROM w{k})) AS flushes, (SELECT count(*) FROM w{k}) AS writes" for k in range(1, 6)
 )
 
+#: What the hash makes of a word, and the turn of what it has so far with the next.
+_SCRAMBLE = "((((({0} * 3432918353 % 4294967296) << 15) % 4294967296) + (({0} * 3432918353 % 4294967296) >> 17)) * 461845907 % 4294967296)"
+_TURN13 = "(((xor(h, x) << 13) % 4294967296) + (xor(h, x) >> 19))"
+
 ORACLE_SQL: dict[str, str] = {
     "state_latest": f"WITH {_ST} SELECT * FROM st",
     "state_with_tombstones": f"WITH {_ES} SELECT * FROM es",
@@ -55,7 +59,7 @@ ORACLE_SQL: dict[str, str] = {
     "multi_get_classify": f"WITH {_ES}, p AS (SELECT DISTINCT CAST(event_id AS INTEGER) AS key FROM events) SELECT p.key, CASE WHEN es.value IS NULL THEN 'not_found' WHEN es.value = -1 THEN 'deleted' ELSE 'found' END AS status, es.value FROM p LEFT JOIN es ON p.key = es.key",
     "inorder_values": f"WITH {_ST} SELECT CAST(row_number() OVER (ORDER BY key) AS INTEGER) AS pos, value FROM st",
     "pair_order": f"WITH {_OLOG} SELECT key, value FROM olog ORDER BY key, value",
-    "merge_two_runs": f"WITH {_OLOG}, {_part('a', 'olog', 0.9, 1.0)}, {_part('b', 'olog', 0.0, 0.15)} SELECT coalesce(a.key, b.key) AS key, coalesce(a.value, b.value) AS value FROM a FULL OUTER JOIN b ON a.key = b.key",
+    "merge_two_runs": f"WITH {_OLOG}, {_part('a', 'olog', 0.5, 1.0)}, {_part('b', 'olog', 0.0, 0.5)} SELECT coalesce(a.key, b.key) AS key, coalesce(a.value, b.value) AS value FROM a FULL OUTER JOIN b ON a.key = b.key",
     "merge_last_level": f"WITH {_ELOG}, {_part('a', 'elog', 0.5, 1.0)}, {_part('b', 'elog', 0.0, 0.5)}, c AS (SELECT coalesce(a.key, b.key) AS key, coalesce(a.value, b.value) AS value FROM a FULL OUTER JOIN b ON a.key = b.key) SELECT * FROM c WHERE value <> -1",
     "level_priority_read": f"WITH {_OLOG}, {_part('a', 'olog', 0.8, 1.0)}, {_part('b', 'olog', 0.5, 0.8)}, {_part('c', 'olog', 0.0, 0.5)}, u AS (SELECT *, 0 AS level FROM a UNION ALL SELECT *, 1 FROM b UNION ALL SELECT *, 3 FROM c), x AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY level) AS rn FROM u) SELECT key, value, level FROM x WHERE rn = 1",
     "priority_union": f"WITH {_OLOG}, {_part('a', 'olog', 0.95, 1.0)}, {_part('b', 'olog', 0.0, 0.95)}, u AS (SELECT *, 0 AS source FROM a UNION ALL SELECT *, 1 FROM b), x AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY source) AS rn FROM u) SELECT key, value, source FROM x WHERE rn = 1",
@@ -64,11 +68,12 @@ ORACLE_SQL: dict[str, str] = {
     "zone_overlap": f"WITH {_RUNS} SELECT run FROM m WHERE max_key >= 2500 AND min_key <= 4500",
     "manifest_lines": f"WITH {_RUNS} SELECT concat_ws(',', '0', CAST(run AS VARCHAR), concat('sst_', CAST(run AS VARCHAR), '.txt'), CAST(min_key AS VARCHAR), CAST(max_key AS VARCHAR), CAST(num_pairs AS VARCHAR)) AS line FROM m",
     "manifest_parse": """
-WITH t AS (SELECT * FROM (VALUES ('# This is a comment'), (''), ('next_sst_number=5'), ('# Another comment'), ('0,1,sst_1.txt,10,100,45'), ('1,2,sst_2.txt,5,95,90'),
-  ('1,2,file.txt'), ('1,2,file.txt,10,20,30,40'), ('abc,2,file.txt,10,20,30'), ('2,42,sst_42.txt,-100,500,1234')) v(line)),
-x AS (SELECT string_split(line, ',') AS a FROM t WHERE line <> '' AND line NOT LIKE '#%' AND line NOT LIKE 'next_sst_number=%'),
-y AS (SELECT try_cast(a[1] AS INTEGER) AS level, try_cast(a[2] AS INTEGER) AS sst_number, a[3] AS file_name, try_cast(a[4] AS INTEGER) AS min_key, try_cast(a[5] AS INTEGER) AS max_key, try_cast(a[6] AS BIGINT) AS num_pairs FROM x WHERE len(a) = 6)
-SELECT * FROM y WHERE level IS NOT NULL AND sst_number IS NOT NULL AND min_key IS NOT NULL AND max_key IS NOT NULL AND num_pairs IS NOT NULL""",
+WITH t AS (SELECT * FROM (VALUES ('# runs of a small store'), (''), ('next_sst_number=9'), ('#'), ('0,8,sst_8.txt,3,77,61'), ('1,6,sst_6.txt,-4,70,118'), ('1,6,short.txt'), ('1,6,long.txt,1,2,3,4'),
+  ('zero,6,word.txt,1,2,3'), ('3,31,sst_31.txt,-900,901,1802'), ('0,7,wide.txt,99999999999,1,1'), ('-1,7,below.txt,1,2,2'), ('  2,9,edges.txt,1,2,2  '), ('2, 9,inner.txt,1,2,2')) v(line)),
+x AS (SELECT string_split(trim(line), ',') AS a FROM t WHERE line <> '' AND line NOT LIKE '#%' AND line NOT LIKE 'next_sst_number=%'),
+y AS (SELECT try_cast(a[1] AS INTEGER) AS level, try_cast(a[2] AS INTEGER) AS sst_number, a[3] AS file_name, try_cast(a[4] AS INTEGER) AS min_key, try_cast(a[5] AS INTEGER) AS max_key, try_cast(a[6] AS BIGINT) AS num_pairs FROM x
+  WHERE len(a) = 6 AND regexp_full_match(a[1] || a[2] || a[4] || a[5] || a[6], '[-+0-9]+'))
+SELECT * FROM y WHERE level IS NOT NULL AND sst_number IS NOT NULL AND min_key IS NOT NULL AND max_key IS NOT NULL AND num_pairs IS NOT NULL AND level >= 0""",
     "manifest_round_trip": f"WITH {_RUNS} SELECT run AS sst_number, min_key, max_key, num_pairs FROM m",
     "flush_epochs": f"{_EPOCHS} SELECT * FROM rows",
     "flush_epochs_by_store": _STORES,
@@ -83,8 +88,20 @@ SELECT * FROM y WHERE level IS NOT NULL AND sst_number IS NOT NULL AND min_key I
     "internal_separators": f"""{_LEVELS}, c AS (SELECT level + 1 AS level, CAST(floor(node / 5.0) AS INTEGER) AS parent, node, max_key, row_number() OVER (PARTITION BY level, CAST(floor(node / 5.0) AS INTEGER) ORDER BY node DESC) AS back FROM lv)
 SELECT lv.level, lv.node, coalesce((SELECT string_agg(CAST(c.max_key AS VARCHAR), ',' ORDER BY c.node) FROM c WHERE c.level = lv.level AND c.parent = lv.node AND c.back > 1), '') AS keys FROM lv WHERE lv.level > 0""",
     "route_key": f"WITH {_RANKED}, pg AS (SELECT CAST(floor(rn / 64.0) AS INTEGER) AS page, max(key) AS max_key FROM x GROUP BY 1), p AS (SELECT DISTINCT CAST(o_custkey + 3 AS INTEGER) AS key FROM orders) SELECT p.key, min(pg.page) AS page FROM p LEFT JOIN pg ON pg.max_key >= p.key GROUP BY p.key",
-    "page_locality": f"WITH {_RANKED} SELECT CAST(floor(rn / 64.0) AS INTEGER) AS page, count(*) AS keys_hit FROM x WHERE key % 50 IN (1, 2, 3) GROUP BY 1",
+    "page_locality": f"WITH {_RANKED} SELECT CAST(floor(rn / 64.0) AS INTEGER) AS page, count(*) AS keys_hit FROM x WHERE key IN (SELECT CAST(o_custkey + 3 AS INTEGER) FROM orders) GROUP BY 1",
     "seq_load": "SELECT CAST(k AS INTEGER) AS key, CAST(k AS INTEGER) AS value FROM range(10, 1001, 3) t(k)",
     "bulk_load": "WITH n AS (SELECT count(*) AS n FROM orders) SELECT n AS num_pairs, 1 AS min_key, CAST(n AS INTEGER) AS max_key, CAST(n * (n + 1) / 2 AS BIGINT) AS total FROM n",
+    "store_reopened": f"WITH {_ST} SELECT * FROM st",
+    "store_levels": f"""WITH {_OLOG}, x AS (SELECT CASE WHEN seq * 5 >= 4 * (SELECT max(seq) + 1 FROM olog) THEN 0 ELSE 2 END AS level, key FROM olog)
+SELECT CAST(level AS INTEGER) AS level, min(key) AS min_key, max(key) AS max_key, count(DISTINCT key) AS num_pairs FROM x GROUP BY level""",
+    "bucket_stats": f"""WITH {_RUNS}, pg AS (SELECT concat('sst_', CAST(run AS VARCHAR), '.txt:', CAST(k * 4096 AS VARCHAR)) AS t FROM m, range(0, 8) u(k)),
+d AS (SELECT t, length(t) AS n, length(t) // 4 AS whole FROM pg),
+w AS (SELECT t, n, whole, [CAST(ascii(t[4 * k + 1]) + 256 * ascii(t[4 * k + 2]) + 65536 * ascii(t[4 * k + 3]) + 16777216 * CAST(ascii(t[4 * k + 4]) AS BIGINT) AS HUGEINT) for k in range(0, whole)] AS words,
+  [CAST(ascii(t[4 * whole + j + 1]) AS HUGEINT) * (1 << (8 * j)) for j in range(0, n % 4)] AS rest FROM d),
+s AS (SELECT t, n, [{_SCRAMBLE.format('x')} for x in words] AS words, CASE WHEN n % 4 = 0 THEN 0::HUGEINT ELSE {_SCRAMBLE.format('list_sum(rest)::HUGEINT')} END AS tail FROM w),
+b AS (SELECT t, n, tail, list_reduce(list_prepend(0::HUGEINT, words), lambda h, x: ({_TURN13} * 5 + 3864292196) % 4294967296) AS h FROM s),
+f0 AS (SELECT xor(xor(h, tail), n::HUGEINT) AS h FROM b), f1 AS (SELECT xor(h, h >> 16) * 2246822507 % 4294967296 AS h FROM f0), f2 AS (SELECT xor(h, h >> 13) * 3266489909 % 4294967296 AS h FROM f1),
+c AS (SELECT xor(h, h >> 16) % 4096 AS bucket, count(*) AS chain FROM f2 GROUP BY 1)
+SELECT CAST(sum(chain) AS BIGINT) AS size, 4096 AS num_buckets, sum(chain) / 4096.0::DOUBLE AS load_factor, max(chain) AS max_chain, avg(chain) AS mean_chain, 4096 - count(*) AS empty_buckets FROM c""",
     "tombstone_share": f"WITH {_ES} SELECT count(*) AS num_keys, count(CASE WHEN value = -1 THEN 1 END) AS num_deleted FROM es",
 }

@@ -6,6 +6,8 @@ value); `events` one with deletes (event_type `error` writes a tombstone).
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 from ..operators import btree, cache, epochs, merge, pruning, reads
 from ..schema import TOMBSTONE
 from ..sources import manifest
+from ..store import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -112,7 +115,7 @@ def pair_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def merge_two_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = _orders(spark, sf_dir)
-    return merge.merge_runs(merge.latest(_fraction(log, 0.9, 1.0)), merge.latest(_fraction(log, 0.0, 0.15)))
+    return merge.merge_runs(merge.latest(_fraction(log, 0.5, 1.0)), merge.latest(_fraction(log, 0.0, 0.5)))
 
 
 def merge_last_level(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,7 +153,7 @@ def manifest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.lines_of(named)
 
 
-MANIFEST_SAMPLE = ["# This is a comment", "", "next_sst_number=5", "# Another comment", "0,1,sst_1.txt,10,100,45", "1,2,sst_2.txt,5,95,90", "1,2,file.txt", "1,2,file.txt,10,20,30,40", "abc,2,file.txt,10,20,30", "2,42,sst_42.txt,-100,500,1234"]
+MANIFEST_SAMPLE = ["# runs of a small store", "", "next_sst_number=9", "#", "0,8,sst_8.txt,3,77,61", "1,6,sst_6.txt,-4,70,118", "1,6,short.txt", "1,6,long.txt,1,2,3,4", "zero,6,word.txt,1,2,3", "3,31,sst_31.txt,-900,901,1802", "0,7,wide.txt,99999999999,1,1", "-1,7,below.txt,1,2,2", "  2,9,edges.txt,1,2,2  ", "2, 9,inner.txt,1,2,2"]
 
 
 def manifest_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,8 +201,7 @@ def bloom_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _wide_probes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     runs = _wide_runs(spark, sf_dir)
     found = pruning.manifest_of(runs)
-    # wide runs span nearly all keys: one cell of the whole int range
-    return pruning.zone_contains(_keys(spark, sf_dir, 1, 1), found, 1 << 20), runs, found
+    return pruning.zone_contains(_keys(spark, sf_dir, 1, 1), found, 1 << 10), runs, found
 
 
 def bloom_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,8 +229,35 @@ def route_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_locality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = _orders(spark, sf_dir).where("key % 50 in (1, 2, 3)").select("key")
-    return btree.page_locality(_state(spark, sf_dir), keys, 64)
+    return btree.page_locality(_state(spark, sf_dir), _keys(spark, sf_dir, 1, 3), 64)
+
+
+LOADS = 5
+
+
+def _loaded(spark: SparkSession, sf_dir: str) -> Store:
+    """A store that took the order log in `LOADS` loads one after another, was closed, and is open again."""
+    spark_dir = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    store = Store(spark, f"{spark_dir}/store_{uuid.uuid4().hex}")
+    store.open("orders")
+    log = _orders(spark, sf_dir)
+    end = (log.agg(F.max("seq")).first()[0] or 0) + 1
+    for k in range(LOADS):
+        store.load(log.where((F.col("seq") * LOADS >= k * end) & (F.col("seq") * LOADS < (k + 1) * end)))
+    store.close()
+    store.open("orders")
+    return store
+
+
+def store_reopened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a store reads after loads, compactions, close and open."""
+    return _loaded(spark, sf_dir).state().select("key", "value")
+
+
+def store_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs that compaction leaves of those loads."""
+    runs = [(r.level, r.min_key, r.max_key, r.num_pairs) for level in _loaded(spark, sf_dir).levels() for r in level]
+    return spark.createDataFrame(runs, "level int, min_key int, max_key int, num_pairs long")
 
 
 def seq_load(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,7 +273,8 @@ def bulk_load(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page addresses of the runs that flushes of the order log leave: 8 pages of 4096 bytes each."""
     runs = _runs(spark, sf_dir).select(F.concat(F.lit("sst_"), F.col("run").cast("string"), F.lit(".txt")).alias("file_name")).distinct()
-    return runs.select("file_name", (F.explode(F.sequence(F.lit(0), F.lit(7))) * 4096).alias("offset"))
+    pages = runs.select("file_name", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("page"))
+    return pages.select("file_name", (F.col("page") * 4096).alias("offset"))
 
 
 def bucket_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -303,6 +333,8 @@ QUERIES: dict[str, Query] = {
         internal_separators,
         route_key,
         page_locality,
+        store_reopened,
+        store_levels,
         seq_load,
         bulk_load,
         bucket_stats,

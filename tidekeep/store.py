@@ -5,11 +5,17 @@ Single writes gather in a dict of at most `capacity` keys and become a run when
 Level L is compacted into L + 1 as soon as it holds two runs.  A compaction writes the new
 run, publishes the manifest, and only then removes the old runs, so that a reader or a
 crash never sees a manifest whose runs are gone.
+
+The manifest also names the tail, what was in memory at the last close.  A flush publishes
+its run and the end of that tail at once; runs and tails get names that aren't there yet.
+So a crash between any two steps leaves a database that opens with every published write,
+and at most directories that no manifest names.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,9 +64,8 @@ class Store:
             return False
         self.name, self.memory = name, {}
         self.manifest = Manifest.from_text(self.files.read_text(f"{self.path}/manifest.txt") or "")
-        tail = f"{self.path}/tail"
-        if self.files.exists(tail):
-            self.memory = {r.key: r.value for r in read_runs(self.spark, [tail]).collect()}  # at most one memory table
+        if self.manifest.tail:
+            self.memory = {r.key: r.value for r in read_runs(self.spark, [f"{self.path}/{self.manifest.tail}"]).collect()}  # at most one memory table
         return True
 
     def close(self) -> bool:
@@ -69,8 +74,13 @@ class Store:
             return True
         if len(self.memory) == self.options.capacity:
             self.flush()
-        self._save_tail()
+        old = self.manifest.tail
+        self.manifest.tail = None
+        if self.memory:
+            self.manifest.tail = f"tail_{uuid.uuid4().hex}"
+            self._memory_frame().coalesce(1).write.parquet(f"{self.path}/{self.manifest.tail}")
         self._save_manifest()
+        self._forget(old)
         self.name, self.memory, self.manifest = None, {}, Manifest()
         return True
 
@@ -82,12 +92,9 @@ class Store:
     def _save_manifest(self) -> None:
         self.files.write_text(f"{self.path}/manifest.txt", self.manifest.to_text())
 
-    def _save_tail(self) -> None:
-        tail = f"{self.path}/tail"
-        if self.memory:
-            self._memory_frame().coalesce(1).write.mode("overwrite").parquet(tail)
-        else:
-            self.files.remove(tail)
+    def _forget(self, tail: str | None) -> None:
+        if tail:
+            self.files.remove(f"{self.path}/{tail}")
 
     def _memory_frame(self) -> DataFrame:
         return self.spark.createDataFrame(sorted(self.memory.items()), PAIRS)
@@ -113,7 +120,7 @@ class Store:
         if not self.is_open:
             return False
         self.flush()
-        return self._add_frame(latest(log).select("key", "value"))
+        return self._add_frame(latest(log).select("key", "value"), log.count())
 
     def sequence(self, start: int, end: int, step: int = 1) -> bool:
         """Pairs k -> k for k = start, start + step, ... up to end."""
@@ -132,26 +139,31 @@ class Store:
         if not self.is_open:
             return False
         if self.memory:
-            self._add_frame(self._memory_frame())
+            old, self.manifest.tail = self.manifest.tail, None  # in the manifest that names the run
+            self._add_frame(self._memory_frame(), len(self.memory), old)
             self.memory = {}
-            self._save_tail()
         return True
 
-    def _write(self, pairs: DataFrame, level: int) -> RunMeta | None:
+    def _write(self, pairs: DataFrame, level: int, most: int) -> RunMeta | None:
         number = self.manifest.take_number()
+        while self.files.exists(f"{self.path}/sst_{number}"):  # of a write that was never published
+            number = self.manifest.take_number()
         name = f"sst_{number}"
-        found = describe(pairs)
+        write_run(pairs, f"{self.path}/{name}", self.options, most)
+        found = describe(read_runs(self.spark, [f"{self.path}/{name}"]), unique=True)
         if found is None:
+            self.files.remove(f"{self.path}/{name}")
             return None
-        write_run(pairs, f"{self.path}/{name}", self.options, found[2])
         return RunMeta(level, number, name, *found)
 
-    def _add_frame(self, pairs: DataFrame, level: int = 0) -> bool:
-        run = self._write(pairs, level)
+    def _add_frame(self, pairs: DataFrame, most: int, tail: str | None = None) -> bool:
+        """Add a run of level 0; `tail` is the directory that it makes needless."""
+        run = self._write(pairs, 0, most)
         if run is not None:
             self.manifest.runs.append(run)
             self._save_manifest()
-            self.compact_level(level)
+            self._forget(tail)
+            self.compact_level(0)
         return True
 
     def add_run(self, file_name: str, level: int = 0) -> bool:
@@ -182,7 +194,7 @@ class Store:
             older, newer = self.manifest.level(level)[:2]
             last = drop_tombstones and self.manifest.depth() <= level + 1
             new, old = (read_runs(self.spark, [f"{self.path}/{r.file_name}"]) for r in (newer, older))
-            run = self._write(merge_runs(new, old, last), level + 1)
+            run = self._write(merge_runs(new, old, last), level + 1, older.num_pairs + newer.num_pairs)
             self.manifest.runs = [r for r in self.manifest.runs if r not in (older, newer)] + ([run] if run else [])
             self._save_manifest()
             for r in (older, newer):

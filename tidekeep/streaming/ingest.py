@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.merge import encode_deletes, latest
@@ -13,14 +14,27 @@ def ingest(log: DataFrame, store: Store, checkpoint: str, once: bool = True) ->
     """Start a stream of (seq, key, value[, is_deleted]) rows into an open store.
 
     A batch keeps the last version of each key and is added as the newest run, which
-    compacts the levels as any other run does.  A batch that is replayed after a failure
-    writes the same pairs again, which leaves the state as it is.
+    compacts the levels as any other run does.  What order batches come in doesn't matter:
+    the last `seq` taken of each key is kept beside the stream's checkpoint, and a row that
+    isn't later than that is left out.  So is a batch that is replayed after a failure, or
+    it writes the same pairs again, which leaves the state as it is.
     """
+    taken = f"{checkpoint}/taken"
 
     def add(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
         plain = encode_deletes(batch) if "is_deleted" in batch.columns else batch
-        if not plain.isEmpty():
-            store.load(plain.select("seq", "key", "value"))
+        new = plain.groupBy("key").agg(F.max_by("value", "seq").alias("value"), F.max("seq").alias("seq"))
+        if store.files.exists(taken):
+            known = spark.read.parquet(taken).groupBy("key").agg(F.max("seq").alias("known"))
+            new = new.join(known, "key", "left").where(F.col("known").isNull() | (F.col("seq") > F.col("known"))).drop("known")
+        new = new.select("seq", "key", "value").persist()
+        try:
+            if not new.isEmpty():
+                store.load(new)
+                new.select("key", "seq").write.mode("append").parquet(taken)
+        finally:
+            new.unpersist()
 
     writer = log.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
