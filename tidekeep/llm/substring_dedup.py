@@ -5,7 +5,8 @@ split into groups that fit in memory by a prefix of variable length: first the `
 words that begin at the window's least-hashed run of so many words (its anchor), and where
 a group is too large, all `WINDOW` words.  Equal windows have equal anchors, so a group
 needs no suffix of another, and neighbouring suffixes mostly share theirs, so they travel
-as one record, a piece of the text.
+as one record.  Anchors are counted first; only records whose anchor several documents have
+are fetched, a piece of the text each, and meet.
 
 In a group, words become numbers and suffixes are sorted by doubling: ranks of 1, 2, 4, ...
 32 words, then of all 50.  In that order, suffixes that share 50 words stand together: these
@@ -43,7 +44,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import cut
@@ -139,8 +140,9 @@ def _settled(ids: np.ndarray, at: np.ndarray, code: np.ndarray, doc: np.ndarray)
     return out
 
 
-def _records(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """A record for each run of neighbouring suffixes of one anchor; repeats inside a block of text as spans."""
+def _routed(docs: DataFrame, hot: np.ndarray) -> DataFrame:
+    """(code, doc, row, first, last): runs of neighbouring suffixes of one anchor, without their text; code is null for repeats inside a block."""
+    names = _COLUMNS[:1] + _COLUMNS[2:6]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,25 +152,48 @@ def _records(docs: DataFrame, hot: np.ndarray) -> DataFrame:
                 at, own = windows(first, WINDOW)
                 if not len(at):
                     continue
-                some, ids, codes = distinct(block.data, starts, ends)
+                _, ids, codes = distinct(block.data, starts, ends)
                 codes = codes[ids]
                 doc, row = docs_of[block.first : block.first + block.count][own], rows_of[block.first : block.first + block.count][own]
                 gone = _settled(ids.astype(np.int32), at, run_codes(codes, WINDOW)[at], doc)
                 code = anchors(codes, at, hot)
                 lead = np.flatnonzero(_runs(own, gone, np.where(gone, np.uint64(0), code)))
                 last = np.append(lead[1:], len(at)) - 1
-                for kind in (True, False):
-                    a, b = lead[gone[lead] == kind], last[gone[lead] == kind]
-                    begin = at[a] - first[own[a]]
-                    end = begin + b - a + WINDOW
-                    if kind:
-                        yield _spans(doc[a], row[a], begin, end)
-                        continue
-                    salted = code[a] >> np.uint64(63) > 0
-                    salt = np.where(salted, 1 + (doc[a].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % SALTS, 0)
-                    yield _batch(code[a], salt, doc[a], row[a], begin, end, _slices(block.data, starts[at[a]], ends[at[b] + WINDOW - 1]))
+                begin = at[lead] - first[own[lead]]
+                yield pa.RecordBatch.from_arrays([pa.array(code[lead].view(np.int64), mask=gone[lead]), *(pa.array(x.astype(np.int64)) for x in (doc[lead], row[lead], begin, begin + last - lead + WINDOW))], names)
 
-    return docs.where(F.col("doc").isNotNull()).select("doc", "row", "text").mapInArrow(run, _SCHEMA)
+    return docs.where(F.col("doc").isNotNull()).select("doc", "row", "text").mapInArrow(run, "code long, doc long, row long, first long, last long")
+
+
+def _shared(routed: DataFrame) -> DataFrame:
+    """Repeats, and the runs whose anchor several documents have; others can't repeat."""
+    key = Window.partitionBy("code")
+    met = routed.where("code >= 0").withColumns({"low": F.min("doc").over(key), "high": F.max("doc").over(key)}).where("low < high").drop("low", "high")
+    return routed.where("code is null or code < 0").unionByName(met)  # hot ones are negative
+
+
+def _records(docs: DataFrame, runs: DataFrame) -> DataFrame:
+    """The runs with their piece of the text, from the documents that have some."""
+    asked = runs.groupBy("doc", "row").agg(F.collect_set(F.struct("code", "first", "last")).alias("runs"))
+    found = docs.join(asked, ["doc", "row"]).select("doc", "row", "text", "runs")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs_of, rows_of = (batch.column(k).to_numpy() for k in range(2))
+            lists = batch.column(3)
+            bounds = lists.offsets.to_numpy()
+            code, begin, end = (lists.flatten().field(k).to_numpy() for k in ("code", "first", "last"))
+            for block in blocks(batch.column(2), BLOCK):
+                starts, ends, first = block.words()
+                mine = slice(block.first, block.first + block.count)
+                own = np.repeat(np.arange(block.count), np.diff(bounds)[mine])
+                some = slice(bounds[block.first] - bounds[0], bounds[block.first + block.count] - bounds[0])
+                c, a, b = code[some].view(np.uint64), begin[some], end[some]
+                doc = docs_of[mine][own]
+                salt = np.where(c >> np.uint64(63) > 0, 1 + (doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % SALTS, 0)
+                yield _batch(c, salt, doc, rows_of[mine][own], a, b, _slices(block.data, starts[first[own] + a], ends[first[own] + b - 1]))
+
+    return found.mapInArrow(run, _SCHEMA)
 
 
 def suffix_nodes(ids: np.ndarray, at: np.ndarray, width: int = WINDOW) -> np.ndarray:
@@ -280,9 +305,11 @@ def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", limit: int
     group in bytes, `least_hot` the number of documents from which an anchor is hot.
     """
     named = docs.select(F.col(quoted(key)).cast("long").alias("doc"), F.xxhash64(quoted(text)).alias("row"), F.col(quoted(text)).alias("text"))
-    first = cut(_grouped(_records(named, hot_anchors(named, least_hot)), limit))
-    second = _grouped(first.where("text is not null"), None)  # a group is one window, of which one record is remembered
-    return first.where("text is null").unionByName(second.where("text is null")).select("doc", "row", "first", "last")
+    routed = cut(_shared(_routed(named, hot_anchors(named, least_hot))))
+    first = cut(_grouped(_records(named, routed.where("code is not null")), limit))
+    second = cut(_grouped(first.where("text is not null"), None))  # a group is one window, of which one record is remembered
+    spans = [x.select("doc", "row", "first", "last") for x in (routed.where("code is null"), first.where("text is null"), second.where("text is null"))]
+    return spans[0].unionByName(spans[1]).unionByName(spans[2])
 
 
 def _with_spans(docs: DataFrame, text: str, key: str) -> DataFrame:
