@@ -167,9 +167,10 @@ def _routed(docs: DataFrame, hot: np.ndarray) -> DataFrame:
 
 def _shared(routed: DataFrame) -> DataFrame:
     """Repeats, and the runs whose anchor several documents have; others can't repeat."""
-    key = Window.partitionBy("code")
-    met = routed.where("code >= 0").withColumns({"low": F.min("doc").over(key), "high": F.max("doc").over(key)}).where("low < high").drop("low", "high")
-    return routed.where("code is null or code < 0").unionByName(met)  # hot ones are negative
+    # hot anchors are negative: they need no count, nor do repeats, and they are dealt by document
+    key = Window.partitionBy(F.when(F.col("code") >= 0, F.col("code")).otherwise(F.xxhash64("doc", "first")))
+    met = routed.withColumns({"low": F.min("doc").over(key), "high": F.max("doc").over(key)})
+    return met.where("code is null or code < 0 or low < high").drop("low", "high")
 
 
 def _records(docs: DataFrame, runs: DataFrame) -> DataFrame:
