@@ -261,11 +261,35 @@ def test_media(spark):
     assert table.schema.field("tensor").type.shape == [media.TENSOR_FRAMES, media.MELS] and table.column("start_s")[0].as_py() == 0
 
 
+def test_resampling_and_log_mel_by_definition():
+    rng = np.random.RandomState(4)
+    for up, down, n in ((5, 8, 1), (5, 8, 97), (3, 2, 40), (1, 2, 33)):
+        x = rng.randn(n).astype(np.float32)
+        h = media._phases(up, down, media.TAPS).T.ravel()
+        half = media.TAPS * up
+        size = -(-n * up // down)
+        want = [sum(float(x[i]) * h[i * up - k * down + half] for i in range(n) if 0 <= i * up - k * down + half < len(h)) for k in range(size)]
+        assert np.allclose(media.resample(x, up, down), want, atol=1e-4)
+    x, rate = rng.randn(777).astype(np.float32), 10_000
+    mel, energy = media.log_mel(x, rate)
+    count = -(-(len(x) - media.FRAME) // media.HOP) + 1
+    padded = np.concatenate([x, np.zeros(media.FRAME + media.HOP)])
+    turn = np.exp(-2j * np.pi * np.outer(np.arange(media.FRAME), np.arange(media.FFT // 2 + 1)) / media.FFT)
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(media.FRAME) / media.FRAME)
+    assert mel.shape == (count, media.MELS)
+    for k in range(count):
+        frame_k = padded[k * media.HOP : k * media.HOP + media.FRAME] * window
+        power = np.abs(frame_k @ turn) ** 2
+        assert np.allclose(mel[k], np.log(np.maximum(power @ media._filterbank(rate), media.FLOOR)), atol=1e-3)
+        assert np.isclose(energy[k], 10 * np.log10((frame_k**2).sum()), atol=1e-3)
+
+
 def test_audio_features():
     t = np.arange(16000) / 16000
     tone = np.sin(2 * np.pi * 440 * t).astype(np.float32)
     low = media.resample(tone)
-    assert len(low) == 8000 and np.abs(low[100:-100] - np.sin(2 * np.pi * 440 * np.arange(8000) / 8000)[100:-100]).max() < 1e-3
+    rate = 16000 * media.UP // media.DOWN
+    assert len(low) == rate and np.abs(low[100:-100] - np.sin(2 * np.pi * 440 * np.arange(rate) / rate)[100:-100]).max() < 1e-3
     for up, down in ((3, 2), (2, 3), (5, 7)):
         h = media._phases(up, down, 6).T.reshape(-1)
         x = np.random.RandomState(0).randn(50).astype(np.float32)
@@ -273,8 +297,8 @@ def test_audio_features():
         z[::up] = x
         want = [sum(h[j] * z[n * down + j - 6 * up] for j in range(len(h)) if 0 <= n * down + j - 6 * up < len(z)) for n in range(-(-50 * up // down))]
         assert np.abs(media.resample(x, up, down, 6) - want).max() < 1e-5
-    mel, _ = media.log_mel(low, 8000)
-    assert mel.shape == (99, media.MELS) and mel[50].argmax() == media._filterbank(8000)[round(440 * 256 / 8000)].argmax()
+    mel, _ = media.log_mel(low, rate)
+    assert mel.shape == (-(-(rate - media.FRAME) // media.HOP) + 1, media.MELS) and mel[50].argmax() == media._filterbank(rate)[round(440 * media.FFT / rate)].argmax()
     energy = np.array([0, 0, 5, 0.5, 0.1, 0, 3, 0.5, 0.5, 0, 0.0])
     assert media.energy_segments(energy).tolist() == [[2, 4], [6, 9]]
 

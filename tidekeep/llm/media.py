@@ -1,7 +1,7 @@
 """Media columns: lossless 8-bit audio and features of what is read back from it.
 
 A payload of bytes becomes a mono WAV file of 8-bit samples.  Features are computed from
-the samples that are read back: polyphase resampling to half the rate, overlapping
+the samples that are read back: polyphase resampling to 5/8 of the rate, overlapping
 log-mel filterbank frames, and energy segments with hysteresis.  Frames are laid out as
 fixed-shape Arrow tensors of `TENSOR_FRAMES` x `MELS` (the last one padded with the floor
 value), each with its time span and number of real frames, in an Arrow IPC stream.
@@ -29,9 +29,9 @@ from .textbatch import blocks, quoted
 UNIT = 192
 TAIL = 16
 RATE = 16_000
-UP, DOWN = 1, 2
+UP, DOWN = 5, 8
 TAPS = 12
-FRAME, HOP, FFT = 200, 80, 256
+FRAME, HOP, FFT = 250, 100, 256
 MELS = 40
 TENSOR_FRAMES = 64
 FLOOR = 1e-6
@@ -138,13 +138,6 @@ class Features:
     segments: np.ndarray
     count: int
 
-    def digest(self) -> str:
-        """Frames, tensors and segments, and a hash of all values."""
-        every = hashlib.sha256()
-        for a in (self.tensors, self.frames, self.spans, self.segments):
-            every.update(np.ascontiguousarray(a).tobytes())
-        return f"{self.count}x{MELS};{len(self.tensors)};{len(self.segments)};{every.hexdigest()}"
-
     def to_arrow(self) -> bytes:
         """An Arrow IPC stream: tensor (fixed shape), frames, start_s, end_s."""
         flat = pa.FixedSizeListArray.from_arrays(pa.array(self.tensors.ravel()), TENSOR_FRAMES * MELS)
@@ -158,6 +151,17 @@ class Features:
         return sink.getvalue().to_pybytes()
 
 
+def feature_digest(stream: bytes, segments: np.ndarray) -> str:
+    """Frames, tensors and segments, and a hash of all values, as read back from an Arrow stream of tensors."""
+    with pa.ipc.open_stream(stream) as read:
+        batch = read.read_next_batch()
+    tensors, frames = batch.column(0).storage.flatten().to_numpy(), batch.column(1).to_numpy()
+    every = hashlib.sha256()
+    for a in (tensors, frames, batch.column(2).to_numpy(), batch.column(3).to_numpy(), segments):
+        every.update(np.ascontiguousarray(a).tobytes())
+    return f"{int(frames.sum())}x{MELS};{len(frames)};{len(segments)};{every.hexdigest()}"
+
+
 def features_of(media: bytes) -> Features:
     """Features of a WAV file's samples."""
     rate, samples = read_wav(media)
@@ -207,7 +211,8 @@ def media_digests(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
             for _, raw in _texts(batch.column(1)):
                 media = write_wav(payload_of(raw))
                 back = read_wav(media)[1]
-                row = (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-TAIL:]), len(media), hashlib.sha256(media).hexdigest(), features_of(media).digest())
+                found = features_of(media)
+                row = (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-TAIL:]), len(media), hashlib.sha256(media).hexdigest(), feature_digest(found.to_arrow(), found.segments))
                 for kept, value in zip(rows, row, strict=True):
                     kept.append(value)
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
