@@ -1,7 +1,9 @@
 """HTML extraction on odd and typical pages, and URL lists against a row-by-row version."""
 
 import datetime as dt
+import math
 import random
+import time
 
 import pytest
 
@@ -62,10 +64,81 @@ def test_odd_pages(page, text):
 def test_large_and_deep_pages():
     deep = "<div>" * 2000 + "<p>deep text of some length here</p>"
     assert html_text.extract(deep) == "deep text of some length here"
+    for page in ("<b>" * 20000 + "</i>" * 20000, "<i><div>" + "<b>" * 20000 + "</i>" * 20000, "<div>" * 20000, "<p><b>" * 20000 + "end"):
+        began = time.process_time()
+        html_text.extract(page)
+        assert time.process_time() - began < 10
     long = "<article>" + "<p>word word word word.</p>" * 20000 + "</article>"
     assert html_text.extract(long) == " ".join(["word word word word."] * 20000)
 
 
+def _page(rng, depth=0):
+    """Random markup below a body: blocks, inline elements, links and text."""
+    out = []
+    for _ in range(rng.randint(1, 4)):
+        name = rng.choice(["div", "section", "p", "a", "b", "ul", ""]) if depth < 5 else ""
+        out.append(f"<{name}>{_page(rng, depth + 1)}</{name}>" if name else "".join(rng.choices(["word ", "some more text, ", "x ", "\n"], k=rng.randint(0, 12))))
+    return "".join(out)
+
+
+def test_densities_by_definition():
+    rng = random.Random(9)
+    for _ in range(60):
+        tree = html_text.Tree(f"<html><body>{_page(rng)}</body></html>", True)
+        n, below = len(tree.names), {i: [] for i in range(len(tree.names))}
+        for i in range(1, n):
+            below[tree.parents[i]].append(i)
+
+        def every(i):
+            return [i] + [k for j in below[i] for k in every(j)]
+
+        def chars(i, linked=False):
+            linked = linked or tree.names[i] == "a"
+            own = sum(len(w) for w in tree.texts[i].split())
+            found = [(own, own if linked else 0)] + [chars(j, linked) for j in below[i]]
+            return sum(x for x, _ in found), sum(y for _, y in found)
+
+        def link_above(i):
+            return i > 0 and (tree.names[i] == "a" or link_above(tree.parents[i]))
+
+        total, linked = chars(tree.body)
+        if not total:
+            assert tree.select() == []
+            continue
+
+        def density(i):
+            c, lc = chars(i, link_above(i))
+            if not c:
+                return 0.0
+            names = [tree.names[k] for k in every(i)[1:] if tree.names[k]]
+            t, lt = len(names) or 1, names.count("a")
+            base = math.log(c / ((c - lc) or 1) * lc + linked / total * c + math.e)
+            return c / t * math.log(c / (lc or 1) * t / (lt or 1) + 1) / max(math.log(base), html_text.LEAST_BASE)
+
+        def block(i):
+            return i if i == 0 or tree.names[i] in html_text.BLOCKS else block(tree.parents[i])
+
+        sums = dict.fromkeys(range(n), 0.0)
+        for i in range(1, n):
+            over = block(tree.parents[i])
+            if tree.names[i] in html_text.BLOCKS:
+                sums[over] += density(i)
+            elif not tree.names[i]:
+                sums[over] += density(over) * chars(i)[0] / (chars(over)[0] or 1)
+        inside = [i for i in every(tree.body) if tree.names[i]]
+        most = max(sums[i] for i in inside)
+        core = next(i for i in inside if sums[i] >= most * (1 - 1e-12))
+        path, i = [core], core
+        while i != tree.body:
+            i = tree.parents[i]
+            path.append(i)
+        least = min(density(i) for i in path)
+        chosen = tree.select()
+        assert any(core in every(i) for i in chosen)
+        # nothing outside of what reaches the threshold is taken, but for headings
+        assert all(any(density(k) >= least * (1 - 1e-9) for k in [i, tree.parents[i]]) or tree.names[i] in html_text.HEADINGS for i in chosen)
+
+
 def test_pages_query(spark):
     rows = [(1, "u", f"<article><p>{TEXT}</p></article>"), (2, None, None), (2, None, None), (3, "v", "")]
     got = html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()

@@ -85,6 +85,8 @@ class Tree:
         self.body = 0
         self._hints = hints
         self._stack: list[int] = [0]
+        self._open: dict[str, list[int]] = {}  # places in the stack by name
+        self._open_blocks: list[int] = []
         self._skip = 0  # depth of the element that is left out, if any
         self._scan(page)
 
@@ -140,14 +142,12 @@ class Tree:
             self._add("", html.unescape(raw) if "&" in raw else raw)
 
     def _start(self, name: str, attributes: str) -> None:
-        names, stack = self.names, self._stack
-        if name in ("html", "body") and any(names[i] == name for i in stack):
+        stack = self._stack
+        if name in ("html", "body") and self._open.get(name):
             return
         if name == "body" or (name in BLOCKS and name not in ("html", "br")):
-            for k in range(len(stack) - 1, 0, -1):  # a head ends where the body or a block begins
-                if names[stack[k]] == "head":
-                    self._pop(k)
-                    break
+            if self._open.get("head"):  # a head ends where the body or a block begins
+                self._pop(self._top("head"))
         if name in CLOSES_P:
             self._close(frozenset(["p"]), P_LIMIT)
         if name in IMPLIED:
@@ -155,6 +155,9 @@ class Tree:
         node = self._add(name, "")
         if name in VOID or attributes.endswith("/") and name not in BLOCKS and name not in RAW and name not in ("a", "b", "i", "em", "strong", "span"):
             return
+        self._open.setdefault(name, []).append(len(stack))
+        if name in BLOCKS:
+            self._open_blocks.append(len(stack))
         stack.append(node)
         if name == "body":
             self.body = node
@@ -165,34 +168,37 @@ class Tree:
         if name in NEVER:
             return True
         if name == "header":
-            return not any(self.names[i] in ("article", "main") for i in self._stack)
+            return not (self._open.get("article") or self._open.get("main"))
         return self._hints and name not in ("html", "body", "article", "main") and bool(attributes) and _hinted(attributes)
 
+    def _top(self, *names: str) -> int:
+        """The last place in the stack of an element of one of these names; 0 (the root's) if there is none."""
+        return max((at[-1] for name in names if (at := self._open.get(name))), default=0)
+
     def _pop(self, k: int) -> None:
+        for i in self._stack[k:]:
+            name = self.names[i]
+            self._open[name].pop()
+            if name in BLOCKS:
+                self._open_blocks.pop()
         del self._stack[k:]
         if self._skip > len(self._stack):
             self._skip = 0
 
     def _close(self, targets: frozenset[str], limit: frozenset[str]) -> None:
-        for k in range(len(self._stack) - 1, 0, -1):
-            name = self.names[self._stack[k]]
-            if name in targets:
-                self._pop(k)
-                return
-            if name in limit:
-                return
+        k = self._top(*targets)
+        if k > self._top(*limit):
+            self._pop(k)
 
     def _end(self, name: str) -> None:
         if name in ("html", "body"):
             return  # what follows still belongs to the body
-        names, stack = self.names, self._stack
-        for k in range(len(stack) - 1, 0, -1):
-            own = names[stack[k]]
-            if own == name:
-                self._pop(k)
-                return
-            if own in ("body", "html") or (name not in BLOCKS and own in BLOCKS) or (name == "p" and own in P_LIMIT):
-                return  # an inline end tag does not end a block
+        k = self._top(name)
+        if not k or k < self._top("html", "body") or (name == "p" and k < self._top(*P_LIMIT)):
+            return
+        if name not in BLOCKS and self._open_blocks and k < self._open_blocks[-1]:
+            return  # an inline end tag does not end a block
+        self._pop(k)
 
     # densities
 
@@ -271,9 +277,11 @@ class Tree:
         """Text of these subtrees: white space is one space, and blocks stand apart."""
         inside, pieces = set(chosen), []
         gap = [False] * len(self.names)
+        block = [0] * len(self.names)  # the nearest block above, or the node itself
         last = None
         for i in range(1, len(self.names)):
             p = self.parents[i]
+            block[i] = i if self.names[i] in BLOCKS else block[p]
             if p in inside:
                 inside.add(i)
             if i not in inside:
@@ -284,18 +292,12 @@ class Tree:
             if gap[i]:
                 pieces.append(" ")
             if not name:
-                block = self._block(p)
-                if block != last:
+                if block[p] != last:
                     pieces.append(" ")
-                    last = block
+                    last = block[p]
                 pieces.append(self.texts[i])
         return " ".join("".join(pieces).split())
 
-    def _block(self, i: int) -> int:
-        while i > 0 and self.names[i] not in BLOCKS:
-            i = self.parents[i]
-        return i
-
 
 def extract(page: str | None) -> str:
     """Main text of one page."""
