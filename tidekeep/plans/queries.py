@@ -6,7 +6,6 @@ value); `events` one with deletes (event_type `error` writes a tombstone).
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 from ..operators import btree, cache, epochs, merge, pruning, reads
 from ..schema import TOMBSTONE
 from ..sources import manifest
+from ..sources.files import shared_folder
 from ..store import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -237,8 +237,7 @@ LOADS = 5
 
 def _loaded(spark: SparkSession, sf_dir: str) -> Store:
     """A store that took the order log in `LOADS` loads one after another, was closed, and is open again."""
-    spark_dir = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    store = Store(spark, f"{spark_dir}/store_{uuid.uuid4().hex}")
+    store = Store(spark, f"{shared_folder(spark)}/store_{uuid.uuid4().hex}")
     store.open("orders")
     log = _orders(spark, sf_dir)
     end = (log.agg(F.max("seq")).first()[0] or 0) + 1

@@ -2,9 +2,24 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Only where it is unset and all runs on one machine, as in tests, a temporary folder takes its place.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="tidekeep-")
+    return folder
+
+
 class Files:
     def __init__(self, spark: SparkSession) -> None:
         self._jvm = spark.sparkContext._jvm
