@@ -3,20 +3,17 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.files import shared_folder
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, set by spark.checkpoint.dir.
 
-    Only where neither that setting nor a checkpoint folder is given, as in tests on one
-    machine, a temporary folder takes its place.
-    """
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, set by spark.checkpoint.dir, as the session's checkpoint folder."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidekeep-"))
+        context.setCheckpointDir(shared_folder(spark))
     return context.getCheckpointDir()
 
 
