@@ -22,7 +22,7 @@ def rows(table):
 @pytest.fixture(scope="module")
 def tables():
     con = duckdb.connect()
-    for name in ("orders", "events"):
+    for name in ("nation", "orders", "events"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     return con
 

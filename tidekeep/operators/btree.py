@@ -48,7 +48,8 @@ def route(pairs: DataFrame, probes: DataFrame, leaf_pairs: int = LEAF_PAIRS) ->
     An as-of join by position: a key belongs to the page of its successor among the stored
     keys, found by merging probes with page maxima in key order, bucket by bucket.
     """
-    pages = leaf_pages(pairs, leaf_pairs).select("page", "max_key", F.lag("max_key").over(_by_page()).alias("before"))
+    pages = leaf_pages(pairs, leaf_pairs).select("page", "max_key")
+    pages = pages.join(pages.select((F.col("page") + 1).alias("page"), F.col("max_key").alias("before")), "page", "left")
     span = pairs.agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("n")).first()
     width = max(1, (span.hi - span.lo + 1) * leaf_pairs // max(span.n, 1)) if span.n else 1
     cell = lambda c: F.floor(c / F.lit(width)).cast("long")
@@ -60,10 +61,10 @@ def route(pairs: DataFrame, probes: DataFrame, leaf_pairs: int = LEAF_PAIRS) ->
     return asked.join(zones, hit, "left").select("key", "page")
 
 
-def _by_page():
-    from pyspark.sql import Window
-
-    return Window.orderBy("page")  # one row a page
+def leaf_search(pairs: DataFrame, probes: DataFrame, leaf_pairs: int = LEAF_PAIRS) -> DataFrame:
+    """(key, page, value): the leaf that a key is routed to, and its value there; null if the leaf lacks it."""
+    stored = with_page(pairs, leaf_pairs).select("page", "key", "value")
+    return route(pairs, probes, leaf_pairs).join(stored, ["page", "key"], "left").select("key", "page", "value")
 
 
 def page_locality(pairs: DataFrame, keys: DataFrame, leaf_pairs: int = LEAF_PAIRS) -> DataFrame:

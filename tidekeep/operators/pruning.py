@@ -57,6 +57,23 @@ def bloom_probe(pairs: DataFrame, runs: DataFrame, manifest: DataFrame, bits_per
     return hits.groupBy("key", "run", "need").agg(F.count("*").alias("hit")).where("hit = need").select("key", "run")
 
 
+def read_path(probes: DataFrame, runs: DataFrame, manifest: DataFrame, width: int, bits_per_entry: int = 10, hash_count: int = 3) -> DataFrame:
+    """(key, value, run, zone_n, maybe_n) of every probed key over runs (run, key, value), of which a higher number is newer.
+
+    Of the runs whose key range has the key (zone_n), the Bloom filters leave some (maybe_n),
+    and only those are searched; the newest that has the key gives value and run, both null if
+    none does.
+    """
+    zones = zone_contains(probes, manifest, width)
+    maybe = bloom_probe(zones, runs.select("run", "key"), manifest, bits_per_entry, hash_count)
+    searched = maybe.join(runs.select("run", "key", "value"), ["run", "key"], "left").groupBy("key").agg(
+        F.max_by("value", F.when(F.col("value").isNotNull(), F.col("run"))).alias("value"), F.max(F.when(F.col("value").isNotNull(), F.col("run"))).alias("run"), F.count("*").alias("maybe_n")
+    )
+    counted = zones.groupBy("key").agg(F.count("*").alias("zone_n"))
+    none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return probes.select("key").join(counted, "key", "left").join(searched, "key", "left").select("key", "value", "run", none("zone_n"), none("maybe_n"))
+
+
 def bloom_quality(pairs: DataFrame, runs: DataFrame, manifest: DataFrame, bits_per_entry: int = 10, hash_count: int = 3) -> DataFrame:
     """One row: probed pairs, those the filters let through, and of these the ones that aren't in the run."""
     maybe = bloom_probe(pairs, runs, manifest, bits_per_entry, hash_count)

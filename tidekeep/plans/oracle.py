@@ -1,4 +1,4 @@
-"""The same queries as SQL for DuckDB.  The sequential simulation of CLOCK has none."""
+"""The same queries as SQL for DuckDB."""
 
 from __future__ import annotations
 
@@ -43,6 +43,20 @@ _STORES = "WITH RECURSIVE " + ",\n".join(_ONE_STORE.format(k) for k in range(1,
     f"SELECT {k} AS store, (SELECT count(*) FROM ep{k} WHERE t IS NOT NULL AND t < (SELECT max(seq) FROM w{k})) AS flushes, (SELECT count(*) FROM w{k}) AS writes" for k in range(1, 6)
 )
 
+_NATIONS = "nw AS (SELECT n_nationkey AS seq, CAST(n_nationkey % 20 AS INTEGER) AS key, CAST(CASE WHEN n_regionkey = 0 THEN -1 ELSE 100 * n_regionkey + n_nationkey END AS INTEGER) AS value FROM nation), ns AS (SELECT key, max_by(value, seq) AS value FROM nw GROUP BY key)"
+#: A cache of 4 slots, one access after another: `slot` gets the page or has it, `passed` is how many the hand clears first.
+_CLOCK = """WITH RECURSIVE t AS MATERIALIZED (SELECT CAST(user_id AS INTEGER) AS trace_id, CAST(event_id AS INTEGER) AS step, concat('p', CAST(floor(value) % 12 AS INTEGER)) AS page, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+c AS (SELECT DISTINCT trace_id, 0::BIGINT AS n, CAST(NULL AS INTEGER) AS step, CAST(NULL AS VARCHAR) AS page, false AS hit, CAST(NULL AS VARCHAR) AS evicted, ['', '', '', ''] AS pages, [false, false, false, false] AS bits, 0::BIGINT AS hand, 0::BIGINT AS filled FROM t
+  UNION ALL
+  SELECT trace_id, n, step, page, hit, CASE WHEN full_miss THEN pages[slot + 1] END,
+    [CASE WHEN j = slot THEN page ELSE pages[j + 1] END FOR j IN range(0, 4)],
+    [CASE WHEN j = slot THEN true WHEN full_miss AND (j - hand + 4) % 4 < passed THEN false ELSE bits[j + 1] END FOR j IN range(0, 4)],
+    CASE WHEN full_miss THEN (slot + 1) % 4 ELSE hand END, CASE WHEN hit OR full_miss THEN filled ELSE filled + 1 END
+  FROM (SELECT *, CASE WHEN hit THEN list_position(pages, page) - 1 WHEN full_miss THEN (hand + passed) % 4 ELSE filled END AS slot
+    FROM (SELECT t.trace_id, t.n, t.step, t.page, pages, bits, hand, filled, list_contains(pages, t.page) AS hit, filled = 4 AND NOT list_contains(pages, t.page) AS full_miss,
+        CASE WHEN NOT bits[hand + 1] THEN 0 WHEN NOT bits[(hand + 1) % 4 + 1] THEN 1 WHEN NOT bits[(hand + 2) % 4 + 1] THEN 2 WHEN NOT bits[(hand + 3) % 4 + 1] THEN 3 ELSE 4 END AS passed
+      FROM c JOIN t ON t.trace_id = c.trace_id AND t.n = c.n + 1)))"""
+
 #: What the hash makes of a word, and the turn of what it has so far with the next.
 _SCRAMBLE = "((((({0} * 3432918353 % 4294967296) << 15) % 4294967296) + (({0} * 3432918353 % 4294967296) >> 17)) * 461845907 % 4294967296)"
 _TURN13 = "(((xor(h, x) << 13) % 4294967296) + (xor(h, x) >> 19))"
@@ -89,6 +103,19 @@ SELECT * FROM y WHERE level IS NOT NULL AND sst_number IS NOT NULL AND min_key I
 SELECT lv.level, lv.node, coalesce((SELECT string_agg(CAST(c.max_key AS VARCHAR), ',' ORDER BY c.node) FROM c WHERE c.level = lv.level AND c.parent = lv.node AND c.back > 1), '') AS keys FROM lv WHERE lv.level > 0""",
     "route_key": f"WITH {_RANKED}, pg AS (SELECT CAST(floor(rn / 64.0) AS INTEGER) AS page, max(key) AS max_key FROM x GROUP BY 1), p AS (SELECT DISTINCT CAST(o_custkey + 3 AS INTEGER) AS key FROM orders) SELECT p.key, min(pg.page) AS page FROM p LEFT JOIN pg ON pg.max_key >= p.key GROUP BY p.key",
     "page_locality": f"WITH {_RANKED} SELECT CAST(floor(rn / 64.0) AS INTEGER) AS page, count(*) AS keys_hit FROM x WHERE key IN (SELECT CAST(o_custkey + 3 AS INTEGER) FROM orders) GROUP BY 1",
+    "leaf_search": f"WITH {_RANKED}, pg AS (SELECT CAST(floor(rn / 64.0) AS INTEGER) AS page, max(key) AS max_key FROM x GROUP BY 1), p AS (SELECT DISTINCT CAST(o_custkey + 3 AS INTEGER) AS key FROM orders), q AS (SELECT p.key, min(pg.page) AS page FROM p LEFT JOIN pg ON pg.max_key >= p.key GROUP BY p.key) SELECT q.key, q.page, st.value FROM q LEFT JOIN st ON st.key = q.key",
+    "run_read_path": f"""WITH {_WIDE}, {_H}, {_BITS}, {_MAYBE}, v AS (SELECT CAST(floor(seq * 8 / ((SELECT max(seq) FROM olog) + 1)) AS INTEGER) AS run, key, max_by(value, seq) AS value FROM olog GROUP BY 1, 2)
+SELECT p.key, max_by(v.value, v.run) AS value, max(v.run) AS run, count(z.run) AS zone_n, count(maybe.run) AS maybe_n FROM p LEFT JOIN z ON z.key = p.key LEFT JOIN maybe ON maybe.key = z.key AND maybe.run = z.run LEFT JOIN v ON v.key = z.key AND v.run = z.run GROUP BY p.key""",
+    "run_file_headers": f"""WITH {_RUNS}, l AS (SELECT *, CAST(ceil(num_pairs / 512.0) AS INTEGER) AS leaves FROM m), g AS (SELECT *, CASE WHEN leaves > 1 THEN 1 ELSE 0 END AS nodes FROM l)
+SELECT run, CAST(4096 * (1 + nodes) + 8 * num_pairs + ceil(num_pairs * 10 / 8.0) AS BIGINT) AS file_bytes, 1 + nodes AS height, leaves, CAST(num_pairs - 512 * (leaves - 1) AS INTEGER) AS last_leaf_pairs, min_key, max_key, num_pairs, num_pairs * 10 AS num_bits, 1 + nodes AS first_leaf_page FROM g""",
+    "run_file_pairs": "SELECT CAST(floor(o_orderkey / 1000.0) AS INTEGER) AS run, CAST(o_orderkey AS INTEGER) AS key, CAST(floor(o_totalprice) AS INTEGER) AS value FROM orders",
+    "store_multi_get": f"WITH {_ST}, p AS (SELECT DISTINCT CAST(o_custkey * 2 + 1 AS INTEGER) AS key FROM orders) SELECT p.key, CASE WHEN st.value IS NULL THEN 'not_found' WHEN st.value = -1 THEN 'deleted' ELSE 'found' END AS status, st.value FROM p LEFT JOIN st ON p.key = st.key",
+    "store_point_writes": f"WITH {_NATIONS} SELECT * FROM ns",
+    "store_live_scan": f"WITH {_NATIONS} SELECT * FROM ns WHERE key BETWEEN 2 AND 17 AND value <> -1",
+    "store_point_levels": f"WITH {_NATIONS}, x AS (SELECT key, CASE CAST(floor(seq / 8.0) AS INTEGER) WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 0 ELSE -1 END AS level FROM nw) SELECT CAST(level AS INTEGER) AS level, min(key) AS min_key, max(key) AS max_key, count(DISTINCT key) AS num_pairs FROM x GROUP BY level",
+    "store_added_runs": f"WITH {_ES} SELECT * FROM es",
+    "clock_trace": f"{_CLOCK} SELECT trace_id, step, page, hit, evicted FROM c WHERE n > 0",
+    "clock_hits": f"{_CLOCK} SELECT trace_id, count(*) AS accesses, count(CASE WHEN hit THEN 1 END) AS hits, count(evicted) AS evictions FROM c WHERE n > 0 GROUP BY trace_id",
     "seq_load": "SELECT CAST(k AS INTEGER) AS key, CAST(k AS INTEGER) AS value FROM range(10, 1001, 3) t(k)",
     "bulk_load": "WITH n AS (SELECT count(*) AS n FROM orders) SELECT n AS num_pairs, 1 AS min_key, CAST(n AS INTEGER) AS max_key, CAST(n * (n + 1) / 2 AS BIGINT) AS total FROM n",
     "store_reopened": f"WITH {_ST} SELECT * FROM st",

@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import btree, cache, epochs, merge, pruning, reads
-from ..schema import TOMBSTONE
-from ..sources import manifest
+from ..schema import TOMBSTONE, Options
+from ..sources import manifest, sst
 from ..sources.files import shared_folder
+from ..sources.runs import write_run
 from ..store import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,7 +54,8 @@ def _wide_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight runs of the customer log: overlapping key ranges with gaps."""
     log = _orders(spark, sf_dir)
     last = log.agg(F.max("seq").alias("last"))
-    return log.join(F.broadcast(last)).select(F.floor(F.col("seq") * 8 / (F.col("last") + 1)).cast("int").alias("run"), "key").distinct()  # one row
+    run = F.floor(F.col("seq") * 8 / (F.col("last") + 1)).cast("int").alias("run")
+    return log.join(F.broadcast(last)).groupBy(run, "key").agg(F.max_by("value", "seq").alias("value"))  # one row
 
 
 def _fraction(log: DataFrame, low: float, high: float) -> DataFrame:
@@ -199,7 +201,7 @@ def bloom_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _wide_probes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    runs = _wide_runs(spark, sf_dir)
+    runs = _wide_runs(spark, sf_dir).select("run", "key")
     found = pruning.manifest_of(runs)
     return pruning.zone_contains(_keys(spark, sf_dir, 1, 1), found, 1 << 10), runs, found
 
@@ -212,6 +214,11 @@ def bloom_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pruning.bloom_quality(*_wide_probes(spark, sf_dir))
 
 
+def run_read_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = _wide_runs(spark, sf_dir)
+    return pruning.read_path(_keys(spark, sf_dir, 1, 1), runs, pruning.manifest_of(runs), 1 << 10)
+
+
 def leaf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return btree.leaf_pages(_state(spark, sf_dir))
 
@@ -228,6 +235,24 @@ def route_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return btree.route(_state(spark, sf_dir), _keys(spark, sf_dir, 1, 3), 64)
 
 
+def leaf_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return btree.leaf_search(_state(spark, sf_dir), _keys(spark, sf_dir, 1, 3), 64)
+
+
+def _run_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Binary files of the runs of the insert-only log; a run has at most `RUN_WRITES` pairs."""
+    t = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return sst.images(t.select(F.floor(F.col("o_orderkey") / float(RUN_WRITES)).cast("int").alias("run"), F.col("o_orderkey").cast("int").alias("key"), F.floor("o_totalprice").cast("int").alias("value")))
+
+
+def run_file_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sst.headers(_run_files(spark, sf_dir))
+
+
+def run_file_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sst.pairs_of(_run_files(spark, sf_dir))
+
+
 def page_locality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return btree.page_locality(_state(spark, sf_dir), _keys(spark, sf_dir, 1, 3), 64)
 
@@ -235,10 +260,15 @@ def page_locality(spark: SparkSession, sf_dir: str) -> DataFrame:
 LOADS = 5
 
 
+def _new_store(spark: SparkSession, name: str, options: Options | None = None) -> Store:
+    store = Store(spark, f"{shared_folder(spark)}/store_{uuid.uuid4().hex}", options)
+    store.open(name)
+    return store
+
+
 def _loaded(spark: SparkSession, sf_dir: str) -> Store:
     """A store that took the order log in `LOADS` loads one after another, was closed, and is open again."""
-    store = Store(spark, f"{shared_folder(spark)}/store_{uuid.uuid4().hex}")
-    store.open("orders")
+    store = _new_store(spark, "orders")
     log = _orders(spark, sf_dir)
     end = (log.agg(F.max("seq")).first()[0] or 0) + 1
     for k in range(LOADS):
@@ -259,14 +289,64 @@ def store_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(runs, "level int, min_key int, max_key int, num_pairs long")
 
 
+def store_multi_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _loaded(spark, sf_dir).multi_get(_keys(spark, sf_dir, 2, 1))
+
+
+def _written(spark: SparkSession, sf_dir: str) -> Store:
+    """A store of 8 keys in memory that took a write for every nation, one by one, was closed, and is open again.
+
+    The key is n_nationkey mod 20, so that some are written twice; region 0 deletes.
+    """
+    store = _new_store(spark, "nations", Options(capacity=8))
+    for r in spark.read.parquet(f"{sf_dir}/nation.parquet").orderBy("n_nationkey").select("n_nationkey", "n_regionkey").toLocalIterator():
+        if r.n_regionkey == 0:
+            store.delete(r.n_nationkey % 20)
+        else:
+            store.insert(r.n_nationkey % 20, 100 * r.n_regionkey + r.n_nationkey)
+    store.close()
+    store.open("nations")
+    return store
+
+
+def store_point_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _written(spark, sf_dir).state().select("key", "value")
+
+
+def store_live_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _written(spark, sf_dir).scan(2, 17, live_only=True)
+
+
+def store_point_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs that point writes leave; level -1 is what is in memory again after close and open."""
+    store = _written(spark, sf_dir)
+    runs = [(r.level, r.min_key, r.max_key, r.num_pairs) for level in store.levels() for r in level]
+    if store.memory:
+        runs.append((-1, min(store.memory), max(store.memory), len(store.memory)))
+    return spark.createDataFrame(runs, "level int, min_key int, max_key int, num_pairs long")
+
+
+def store_added_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two halves of the event log, written as runs beside a store and then added to it, which merges them."""
+    store, log = _new_store(spark, "events"), _events(spark, sf_dir)
+    for name, low, high in (("older", 0.0, 0.5), ("newer", 0.5, 1.0)):
+        half = merge.latest(_fraction(log, low, high))
+        write_run(half, f"{store.path}/{name}", store.options, half.count())
+        store.add_run(name)
+    return store.state().select("key", "value")
+
+
 def seq_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(10, 1001, 3).select(F.col("id").cast("int").alias("key"), F.col("id").cast("int").alias("value"))
+    store = _new_store(spark, "steps")
+    store.sequence(10, 1000, 3)
+    return store.state()
 
 
 def bulk_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = spark.read.parquet(f"{sf_dir}/orders.parquet").count()
-    keys = spark.range(1, n + 1).select(F.col("id").cast("int").alias("key"), F.col("id").cast("int").alias("value"))
-    return keys.agg(F.count("*").alias("num_pairs"), F.min("key").alias("min_key"), F.max("key").alias("max_key"), F.sum(F.col("value").cast("long")).alias("total"))
+    """What a store holds after as many sequential pairs as there are orders."""
+    store = _new_store(spark, "bulk")
+    store.sequence(1, spark.read.parquet(f"{sf_dir}/orders.parquet").count())
+    return store.state().agg(F.count("*").alias("num_pairs"), F.min("key").alias("min_key"), F.max("key").alias("max_key"), F.sum(F.col("value").cast("long")).alias("total"))
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -331,9 +411,18 @@ QUERIES: dict[str, Query] = {
         internal_levels,
         internal_separators,
         route_key,
+        leaf_search,
+        run_read_path,
+        run_file_headers,
+        run_file_pairs,
         page_locality,
         store_reopened,
         store_levels,
+        store_multi_get,
+        store_point_writes,
+        store_live_scan,
+        store_point_levels,
+        store_added_runs,
         seq_load,
         bulk_load,
         bucket_stats,
