@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 from tidekeep.llm import language, ngram_join, packing, quality, substring_dedup
 from tidekeep.llm.shared import cut
 
-#: Least rank-order score of a text whose language counts as known.
-LEAST_LANGUAGE_SCORE = 0.2
-
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the likelihood ratio."""
@@ -23,8 +20,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages that the kept ones teach."""
-    return language.keep_known(docs, language.fit(docs), LEAST_LANGUAGE_SCORE)
+    """Documents in one of the languages that the kept ones teach, by a least score that these set."""
+    profiles = language.fit(docs)
+    return language.keep_known(docs, profiles, language.least_score(docs, profiles))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

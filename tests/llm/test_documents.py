@@ -106,10 +106,29 @@ def test_language(spark):
     held = {r.doc_id: r.h for r in docs.select("doc_id", language.held_out().alias("h")).collect()}
     assert all(h == (zlib.crc32(str(i).encode()) % 4 == 2) for i, h in held.items())
     assert all(r.text is not None for r in language.keep_known(docs, found, 0.1).collect())
+    own = [x for r in out for x in [(r.doc_id, r.lang_pred, r.score)]]
+    label = Counter((r[0], r[2]) for r in rows)
+    bins = sorted(int(score * language.BINS) for i, name, score in own if (i, name) in label)
+    assert language.least_score(docs, found) == language.MARGIN * bins[max(0, math.ceil(len(bins) * language.LOW_SHARE) - 1)] / language.BINS
+    assert language.least_score(frame(spark, []), found) == 0.0
     nothing = language.fit(frame(spark, []))
     assert {r.lang_pred for r in language.identify(docs, nothing).collect()} == {"und"}
 
 
+def test_unlearned_languages_go_and_clean_documents_stay(spark):
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("size(split(text, ' ')) >= 30").select("doc_id", "text", "lang")
+    strange = [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+    ]
+    docs = table.unionByName(spark.createDataFrame([(10**6 + k, s, None) for k, s in enumerate(strange)], "doc_id long, text string, lang string"))
+    found = language.fit(docs)
+    least = language.least_score(docs, found)
+    kept = {r.doc_id for r in language.keep_known(docs, found, least).select("doc_id").collect()}
+    assert {r.doc_id for r in table.where("lang is not null").select("doc_id").collect()} <= kept
+    assert not {10**6, 10**6 + 1} & kept
+
+
 def test_near_duplicates_against_all_pairs(spark):
     for seed in (1, 2):
         rows = corpus(200, seed)

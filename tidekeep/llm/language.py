@@ -11,6 +11,10 @@ Profiles are learned from a bounded sample: documents of each language by a hash
 id, as large a share as gives `PER_LANGUAGE` (all, if there are no more), of the `LANGUAGES`
 most frequent languages.  Prediction reads the whole text and nothing else.
 
+What score counts as known is taken from the corpus (`least_score`): of all documents that
+are predicted as labelled, the `LOW_SHARE` quantile of scores, times `MARGIN`.  Texts in a
+language that was not learned score less; they share letters, but few of the frequent n-grams.
+
 Texts that are null or have no letter get `und` and score 0; so does every text when there
 is nothing to learn from.  Equal texts get equal rows.
 """
@@ -32,6 +36,8 @@ from .textbatch import Block, blocks, quoted
 DEPTH = 300
 #: Languages that are learned, the most frequent, and documents that each is learned from, about.
 LANGUAGES, PER_LANGUAGE = 1000, 1000
+#: The least score that counts as known: this share of the quantile of scores, which are counted in so many bins.
+LOW_SHARE, MARGIN, BINS = 0.001, 2 / 3, 1000
 BLANK = 0x20
 UNKNOWN = "und"
 
@@ -168,6 +174,30 @@ def identify(docs: DataFrame, profiles: Profiles, text: str = "text", key: str =
     return picked.mapInArrow(run, f"{quoted(key)} {picked.dtypes[0][1]}, lang_pred string, score double")
 
 
+def least_score(docs: DataFrame, profiles: Profiles, text: str = "text", lang: str = "lang") -> float:
+    """`MARGIN` times the `LOW_SHARE` quantile of scores, over all documents that are predicted as labelled; 0 if there are none.
+
+    Scores are counted in `BINS` equal bins, whose counts come to the driver, so that the
+    result doesn't depend on how documents are dealt to tasks.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            labels = batch.column(1).to_pylist()
+            for block in blocks(batch.column(0)):
+                found = zip(predict_block(block, profiles), labels[block.first : block.first + block.count], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([int(score * BINS) for (name, score), label in found if name == label], pa.int32())], ["bin"])
+
+    labelled = docs.select(quoted(text), quoted(lang)).where(F.col(quoted(lang)).isNotNull())
+    counts = labelled.mapInArrow(run, "bin int").groupBy("bin").agg(F.count("*").alias("n")).collect()  # BINS + 1 rows
+    rank, below = LOW_SHARE * sum(r.n for r in counts), 0
+    for r in sorted(counts, key=lambda r: r.bin):
+        below += r.n
+        if below >= rank:
+            return MARGIN * r.bin / BINS
+    return 0.0
+
+
 def keep_known(docs: DataFrame, profiles: Profiles, least: float, text: str = "text") -> DataFrame:
     """Documents with a language of at least that score, all columns unchanged."""
     at = docs.columns.index(text)
