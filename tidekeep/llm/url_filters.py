@@ -5,9 +5,11 @@ validity intervals [from, to) for each list and pattern; a capture's URL is spre
 patterns that could cover it (its host's parent domains and its path's leading segments),
 and an as-of join finds the intervals that hold at its fetch time.
 
-All of it is DataFrame expressions.  Intervals of a pattern are folded into one sorted
-array, so that the join is an equality of patterns, whatever the number of dates.  A host
-with a third of all captures is dealt over `SALTS` tasks, for which the list is repeated.
+All of it is DataFrame expressions.  The as-of join is an equality of patterns with the
+fetch time inside the interval as a condition of the join itself: the intervals of a list
+and pattern don't overlap, so that at most one of them holds, and no group of intervals or
+captures is gathered in memory.  A host with a third of all captures is dealt over `SALTS`
+tasks, for which the list is repeated.
 
 Null URLs, fetch times or unparsable hosts match nothing.  Entries without pattern, date or
 known action are ignored; of several on one instant, removals come last.  A pattern covers
@@ -67,12 +69,11 @@ def matches(captures: DataFrame, intervals: DataFrame, key: str = "page_id", url
     """(key, url, at, list, kind, pattern, valid_from) of every interval that holds for a capture at its fetch time."""
     asked = captures.where(F.col(url).isNotNull() & F.col(at).isNotNull()).select(F.col(key).alias("_key"), F.col(url).alias("_url"), F.col(at).alias("_at"), F.explode(_patterns(F.col(url))).alias("_p"))
     asked = asked.select("_key", "_url", "_at", F.col("_p.kind").alias("kind"), F.col("_p.pattern").alias("pattern"), F.pmod(F.xxhash64("_key", "_at"), F.lit(SALTS)).cast("int").alias("salt"))
-    listed = intervals.groupBy("kind", "pattern").agg(F.array_sort(F.collect_list(F.struct("valid_from", "valid_to", "list"))).alias("spans"))
-    listed = listed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    found = asked.join(listed, ["kind", "pattern", "salt"])
-    holds = F.filter("spans", lambda s: (s["valid_from"] <= F.col("_at")) & (s["valid_to"].isNull() | (F.col("_at") < s["valid_to"])))
-    found = found.select("_key", "_url", "_at", "kind", "pattern", F.explode(holds).alias("span"))
-    return found.select(F.col("_key").alias(key), F.col("_url").alias(url), F.col("_at").alias(at), F.col("span.list").alias("list"), "kind", "pattern", F.col("span.valid_from").alias("valid_from"))
+    listed = intervals.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    same = (asked["kind"] == listed["kind"]) & (asked["pattern"] == listed["pattern"]) & (asked["salt"] == listed["salt"])
+    holds = (listed["valid_from"] <= F.col("_at")) & (listed["valid_to"].isNull() | (F.col("_at") < listed["valid_to"]))
+    found = asked.join(listed, same & holds)
+    return found.select(F.col("_key").alias(key), F.col("_url").alias(url), F.col("_at").alias(at), listed["list"], listed["kind"], listed["pattern"], listed["valid_from"])
 
 
 def evaluate(captures: DataFrame, entries: DataFrame, key: str = "page_id", url: str = "url", at: str = "fetched_at") -> DataFrame:
