@@ -140,6 +140,27 @@ def test_near_duplicates_against_all_pairs(spark):
     assert ngram_join.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_index_entries_are_dealt_in_little_space(spark):
+    """An entry is dealt as 16 bytes, one of copies in a task; what comes back are the keys that different sets have."""
+    rng = random.Random(5)
+    made = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(200)) for _ in range(60)]
+    made += made[:20] + [x + " more" for x in made[:20]] + ["one two", None, ""]
+    docs = frame(spark, [(k, text, "aa", "s", 0) for k, text in enumerate(made)]).coalesce(1)
+    (block,) = blocks(pa.array(made, pa.string()))
+    tokens, bounds = ngram_join.token_sets(block)
+    sets = {tuple(tokens[bounds[k] : bounds[k + 1]].tolist()) for k in range(block.count) if bounds[k + 1] - bounds[k] > 1}
+    keys = [ngram_join.prefix_keys(np.array(x, np.uint64), np.zeros(len(x), bool))[0] for x in sets]
+    indexed = ngram_join._indexed(docs, np.zeros(0, np.uint64), 7)
+    sent = indexed.collect()
+    assert len(sent) == 7 and sum(len(r["keys"]) + len(r["sets"]) for r in sent) == 16 * sum(map(len, keys))
+    assert sum(len(r["facts"]) for r in sent) == 8 * ngram_join.FACTS * len(sets)
+    often = Counter(int(k) | 1 for own in keys for k in own)
+    met = ngram_join._met(indexed).collect()
+    got = Counter(r["key"] % (1 << 64) for r in met if r["key"] is not None)
+    assert got == {k: n for k, n in often.items() if n > 1} and len(got) > 500
+    assert sorted(r["n"] for r in met if r["key"] is None) == sorted(map(len, sets))
+
+
 def test_near_duplicates_of_repeated_rows(spark, monkeypatch):
     # chains in which only neighbours link (85 of 109 tokens), too long for the pivots; all tokens rare
     monkeypatch.setattr(ngram_join, "FREQUENT", 0)
