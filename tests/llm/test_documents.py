@@ -74,6 +74,23 @@ def test_quality_without_labels_or_documents(spark):
     assert quality.judge(frame(spark, []), empty).count() == 0
 
 
+def test_quality_trusts_all_labelled_documents(spark):
+    docs = spark.range(21_000).selectExpr("id AS doc_id", "concat('some words of ', id) AS text")
+    model = quality.fit(docs, docs.selectExpr("doc_id", "1 AS quality", "0 AS toxic"))
+    assert not model.ratios.any()  # as many trusted documents as there are: both multinomials are one
+
+
+def test_quantiles_are_exact(spark):
+    rng = np.random.default_rng(3)
+    values = np.concatenate([rng.normal(size=3000), -rng.exponential(size=500) * 1e-9, np.zeros(40), [-1e300, 1e300], np.full(100, 0.25)])
+    scores = spark.createDataFrame([(float(x),) for x in values], "score double").repartition(3)
+    places = [0, 1, 500, len(values) // 2, len(values) - 1]
+    assert quality.at_places(scores, places) == np.sort(values)[places].tolist()
+    shares = [0.001, 0.3, 0.5, 1.0]
+    assert quality.quantiles(scores, shares) == pytest.approx(np.quantile(values, shares).tolist(), abs=1e-12)
+    assert quality.quantiles(scores.where("score > 1e301"), shares) is None
+
+
 def test_language(spark):
     rows = corpus(300, seed=4)
     docs = frame(spark, rows)

@@ -8,8 +8,8 @@ own scores: their `LOW_SHARE` quantile less the distance of that quantile from t
 Ratios are rounded to 2**-20 and summed as integers, so that a verdict does not depend on
 how documents are dealt to tasks.
 
-The corpus counts cover all rows; a task sends at most `BUCKETS` rows.  The trusted sample
-has at most `TRUSTED` documents, the least by a hash of their id.
+Both counts cover all rows, and the threshold all trusted ones; a task sends at most `BUCKETS`
+rows of counts.  Quantiles are exact: their digits are found from counts, `DIGIT` bits a pass.
 
 Null and empty texts have no words and fail the base rules.  Without trusted documents, or
 without documents, all ratios are 0 and only the base rules decide.  Repeated rows are
@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, mostly
 from .textbatch import Block, blocks, mix, per_document, quoted, run_codes, span_codes, windows
 
 WIDTH = 4
 BUCKETS = 1 << 14
-TRUSTED = 20_000
 LOW_SHARE = 0.001
+DIGIT = 16
 SCALE = 1 << 20
 
 MIN_WORDS = 10
@@ -102,11 +102,56 @@ def block_scores(block: Block, ratios: np.ndarray) -> np.ndarray:
     return per_document(ratios[bucket], bounds) / (np.maximum(np.diff(bounds), 1) * float(SCALE))
 
 
+def _ordered(scores: np.ndarray) -> np.ndarray:
+    """Codes that have the order of the scores."""
+    bits = scores.view(np.uint64)
+    return np.where(bits >> np.uint64(63), ~bits, bits | np.uint64(1 << 63))
+
+
+def at_places(scores: DataFrame, places: list[int]) -> list[float]:
+    """Scores at these places, from 0, of the ascending order; a pass sends at most 1 << DIGIT counts for each place to the driver."""
+    known, left = [0] * len(places), list(places)
+    for shift in range(64 - DIGIT, -1, -DIGIT):
+        heads = sorted(set(known))
+
+        def run(batches: Iterator[pa.RecordBatch], shift: int = shift, heads: list[int] = heads) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((len(heads), 1 << DIGIT), np.int64)
+            for batch in batches:
+                code = _ordered(batch.column(0).to_numpy()) >> np.uint64(shift)
+                digit = (code & np.uint64((1 << DIGIT) - 1)).astype(np.int64)
+                for k, head in enumerate(heads):
+                    total[k] += np.bincount(digit[code >> np.uint64(DIGIT) == np.uint64(head)], minlength=1 << DIGIT)
+            head, digit = np.nonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(head.astype(np.int32)), pa.array(digit.astype(np.int32)), pa.array(total[head, digit])], ["head", "digit", "n"])
+
+        total = np.zeros((len(heads), 1 << DIGIT), np.int64)
+        for head, digit, n in scores.mapInArrow(run, "head int, digit int, n long").groupBy("head", "digit").agg(F.sum("n")).collect():
+            total[head, digit] = n
+        for k, head in enumerate(known):
+            ends = np.cumsum(total[heads.index(head)])
+            digit = int(np.searchsorted(ends, left[k], "right"))
+            left[k] -= int(ends[digit - 1]) if digit else 0
+            known[k] = head << DIGIT | digit
+    code = np.array(known, np.uint64)
+    return np.where(code >> np.uint64(63), code ^ np.uint64(1 << 63), ~code).view(np.float64).tolist()
+
+
+def quantiles(scores: DataFrame, shares: list[float]) -> list[float] | None:
+    """Exact quantiles, interpolated between neighbours; None without scores."""
+    n = scores.count()
+    if not n:
+        return None
+    at = [share * (n - 1) for share in shares]
+    low = at_places(scores, [p for x in at for p in (int(x), min(int(x) + 1, n - 1))])
+    return [a + (b - a) * (x - int(x)) for x, a, b in zip(at, low[::2], low[1::2], strict=True)]
+
+
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> Model:
-    """Count both multinomials and set the threshold."""
+    """Count both multinomials over all rows and set the threshold from all trusted documents."""
     docs = docs.select(F.col(quoted(key)).alias("doc_id"), F.col(quoted(text)).alias("text"))
-    chosen = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRUSTED)
-    trusted = cut(docs.join(F.broadcast(chosen), "doc_id", "left_semi").select("text"))  # at most TRUSTED ids are sent
+    chosen = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType)).distinct()
+    some = mostly(docs.where("length(text) > 0"), chosen.withColumnRenamed("doc_id", "id"))  # few texts of others are dealt out
+    trusted = cut(some.join(chosen, "doc_id", "left_semi").select("text"))
     ratios = log_ratios(corpus_counts(trusted), corpus_counts(docs.select("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,8 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
             for block in blocks(batch.column(0)):
                 yield pa.RecordBatch.from_arrays([pa.array(block_scores(block, ratios))], ["score"])
 
-    scores = trusted.where("length(text) > 0").mapInArrow(run, "score double").where("score is not null")
-    low, mid = scores.agg(F.percentile("score", [LOW_SHARE, 0.5])).first()[0] or (float("-inf"), 0.0)
+    low, mid = quantiles(cut(trusted.mapInArrow(run, "score double")), [LOW_SHARE, 0.5]) or (float("-inf"), 0.0)
     return Model(ratios, low - (mid - low))
 
 
