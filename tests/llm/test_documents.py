@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidekeep.llm import components, language, media, ngram_join, quality, substring_dedup
+from tidekeep.llm import components, language, media, ngram_join, quality, shared, substring_dedup
 from tidekeep.llm.textbatch import blocks
 
 from .helpers import base_counts, corpus, frame, kept_words, near_duplicate_components, out_of_place, words
@@ -80,6 +80,43 @@ def test_quality_trusts_all_labelled_documents(spark):
     assert not model.ratios.any()  # as many trusted documents as there are: both multinomials are one
 
 
+def shuffled(spark):
+    """Bytes written to shuffles since the session began."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty()
+    every = context.statusStore().executorList(False)
+    return sum(every.apply(k).totalShuffleWrite() for k in range(every.size()))
+
+
+def test_quality_deals_out_no_trusted_texts(spark):
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(k, rng.randbytes(10_000).hex()) for k in range(200)], "doc_id long, text string").repartition(3).cache()
+    known = docs.selectExpr("doc_id", "CAST(doc_id % 2 AS int) AS quality")
+    assert docs.count() == 200
+    size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with more ids than are broadcast
+    try:
+        before = shuffled(spark)
+        quality.fit(docs, known)
+        assert shuffled(spark) - before < 1_000_000  # the trusted texts have 2 MB
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+        docs.unpersist()
+
+
+def test_quality_is_exact_whatever_the_filter_lets_pass(spark, monkeypatch):
+    rows = corpus(60)
+    odd = (None, "a text without an id, of more than ten words, which nobody can trust", "aa", None, 0)
+    docs, known = frame(spark, [*rows, odd]), labels(spark, rows)
+    want = quality.fit(docs, known)
+    monkeypatch.setattr(shared, "MOST_WORDS", 1)  # one word for all ids
+    ids = docs.select("doc_id").distinct()
+    held = shared.passing(ids, shared.key_code("doc_id"), shared.key_filter(known.where("quality = 1").select(shared.key_code("doc_id"))))
+    assert known.where("quality = 1").count() + 5 < held.count() <= ids.count() - 1
+    got = quality.fit(docs, known)
+    assert got.ratios.tolist() == want.ratios.tolist() and got.ratios.any() and got.threshold == want.threshold
+
+
 def test_quantiles_are_exact(spark):
     rng = np.random.default_rng(3)
     values = np.concatenate([rng.normal(size=3000), -rng.exponential(size=500) * 1e-9, np.zeros(40), [-1e300, 1e300], np.full(100, 0.25)])
