@@ -416,3 +416,31 @@ def test_pipeline(spark, tmp_path):
     kept = kept_words(before)
     assert {r.doc_id: words(r.text) for r in docs.collect()} == {i: [x for x, g in zip(w, gone, strict=True) if not g] for (i, _), (w, gone) in kept.items()}
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count()
+
+
+def test_substring_dedup_deals_out_only_texts_that_matter(spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.randbytes(20).hex() for _ in range(400)) for _ in range(200)]
+    texts[7] += " " + texts[3]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).cache()
+    assert docs.count() == 200
+    size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled(spark)
+        removed = {r.doc_id: r.n_removed for r in substring_dedup.removal_digests(docs).collect()}
+        assert {k: n for k, n in removed.items() if n} == {7: 400} and len(removed) == 200
+        assert shuffled(spark) - before < 1_000_000  # all texts have 3.3 MB
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+        docs.unpersist()
+
+
+def test_substring_dedup_is_exact_whatever_the_filter_lets_pass(spark, monkeypatch):
+    monkeypatch.setattr(shared, "MOST_WORDS", 1)
+    rows = [*corpus(120, seed=5), (None, " ".join(f"w{k}" for k in range(80)), "aa", None, 0), (5000, " ".join(f"w{k}" for k in range(90)), "aa", None, 0)]
+    want = kept_words(rows[:-2])
+    got = substring_dedup.removal_digests(frame(spark, rows)).collect()
+    assert len(got) == len(rows) and any(r.n_removed for r in got)
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in got if r.doc_id not in (None, 5000)) == sorted((r[0], len(w), sum(gone)) for r in rows[:-2] for w, gone in [want[r[0], r[1]]])
+    assert {(r.doc_id, r.n_removed) for r in got if r.doc_id in (None, 5000)} == {(None, 0), (5000, 0)}

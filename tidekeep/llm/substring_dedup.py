@@ -6,7 +6,9 @@ words that begin at the window's least-hashed run of so many words (its anchor),
 a group is too large, all `WINDOW` words.  Equal windows have equal anchors, so a group
 needs no suffix of another, and neighbouring suffixes mostly share theirs, so they travel
 as one record.  Anchors are counted first; only records whose anchor several documents have
-are fetched, a piece of the text each, and meet.
+are fetched, a piece of the text each, and meet.  Texts travel of documents that have such
+records, and at the end of those that lose words; a scan knows them by a filter of bounded
+size, and what it holds for besides finds no partner in the join.
 
 In a group, words become numbers and suffixes are sorted by doubling: ranks of 1, 2, 4, ...
 32 words, then of all 50.  In that order, suffixes that share 50 words stand together: these
@@ -47,7 +49,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, key_code, key_filter, passing
 from .textbatch import Block, blocks, distinct, quoted, run_codes, span_codes, windows
 
 WINDOW = 50
@@ -176,7 +178,8 @@ def _shared(routed: DataFrame) -> DataFrame:
 def _records(docs: DataFrame, runs: DataFrame) -> DataFrame:
     """The runs with their piece of the text, from the documents that have some."""
     asked = runs.groupBy("doc", "row").agg(F.collect_set(F.struct("code", "first", "last")).alias("runs"))
-    found = docs.join(asked, ["doc", "row"]).select("doc", "row", "text", "runs")
+    some = key_filter(runs.select(key_code("doc", "row").alias("code")).distinct())
+    found = passing(docs, key_code("doc", "row"), some).join(asked, ["doc", "row"]).select("doc", "row", "text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -315,9 +318,13 @@ def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", limit: int
 
 def _with_spans(docs: DataFrame, text: str, key: str) -> DataFrame:
     """(all, spans): all columns of docs as a struct, and a flat array of first, last of each repeat, null if there is none."""
-    spans = repeats(docs, text, key).groupBy("doc", "row").agg(F.flatten(F.collect_list(F.array("first", "last"))).alias("spans"))
+    found = repeats(docs, text, key)
+    spans = found.groupBy("doc", "row").agg(F.flatten(F.collect_list(F.array("first", "last"))).alias("spans"))
+    some = key_filter(found.select(key_code("doc", "row").alias("code")).distinct())
     named = docs.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("all"), F.col(quoted(key)).cast("long").alias("own"), F.xxhash64(quoted(text)).alias("hash"))
-    return named.join(spans, (F.col("own") == F.col("doc")) & (F.col("hash") == F.col("row")), "left").select("all", "spans")
+    left, met = (passing(named, key_code("own", "hash"), some, yes) for yes in (False, True))
+    whole = left.select("all", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
+    return whole.unionByName(met.join(spans, (F.col("own") == F.col("doc")) & (F.col("hash") == F.col("row")), "left").select("all", "spans"))
 
 
 def _kept(block: Block, spans: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
