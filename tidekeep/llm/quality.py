@@ -159,12 +159,12 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     code = key_code("doc_id")
     chosen = cut(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType)).where("doc_id is not null").distinct())
     trusted = key_filter(chosen.select(code))
-    # ids are dealt out at any size, so that what travels grows in proportion
+    # merge joins: ids are dealt out at any size, so that what travels grows in proportion, and no task holds two Python processes
     wrong = cut(passing(docs.select("doc_id"), code, trusted).join(chosen.hint("merge"), "doc_id", "left_anti").distinct())
     corpus, target = corpus_counts(docs.select(code, "text"), trusted)
     few = key_filter(wrong.select(code))
     if few.words.any():
-        target = target - corpus_counts(passing(docs, code, few).join(wrong, "doc_id").select(code, "text"))[0]
+        target = target - corpus_counts(passing(docs, code, few).join(wrong.hint("merge"), "doc_id").select(code, "text"))[0]
     ratios = log_ratios(target, corpus)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -49,7 +49,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, key_code, key_filter, passing
+from .shared import KeyFilter, cut, key_code, key_filter, passing
 from .textbatch import Block, blocks, distinct, quoted, run_codes, span_codes, windows
 
 WINDOW = 50
@@ -179,7 +179,7 @@ def _records(docs: DataFrame, runs: DataFrame) -> DataFrame:
     """The runs with their piece of the text, from the documents that have some."""
     asked = runs.groupBy("doc", "row").agg(F.collect_set(F.struct("code", "first", "last")).alias("runs"))
     some = key_filter(runs.select(key_code("doc", "row").alias("code")).distinct())
-    found = passing(docs, key_code("doc", "row"), some).join(asked, ["doc", "row"]).select("doc", "row", "text", "runs")
+    found = passing(docs, key_code("doc", "row"), some).join(asked.hint("merge"), ["doc", "row"]).select("doc", "row", "text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -316,15 +316,20 @@ def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", limit: int
     return spans[0].unionByName(spans[1]).unionByName(spans[2])
 
 
-def _with_spans(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """(all, spans): all columns of docs as a struct, and a flat array of first, last of each repeat, null if there is none."""
+def _with_spans(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, KeyFilter]:
+    """(all, spans, code): all columns of docs as a struct, and a flat array of first, last of each repeat, null if there is none.
+
+    Rows for whose code the filter holds come twice and are to be left out: they are also there with their spans and no code.
+    """
     found = repeats(docs, text, key)
     spans = found.groupBy("doc", "row").agg(F.flatten(F.collect_list(F.array("first", "last"))).alias("spans"))
     some = key_filter(found.select(key_code("doc", "row").alias("code")).distinct())
     named = docs.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("all"), F.col(quoted(key)).cast("long").alias("own"), F.xxhash64(quoted(text)).alias("hash"))
-    left, met = (passing(named, key_code("own", "hash"), some, yes) for yes in (False, True))
-    whole = left.select("all", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
-    return whole.unionByName(met.join(spans, (F.col("own") == F.col("doc")) & (F.col("hash") == F.col("row")), "left").select("all", "spans"))
+    named = named.withColumn("code", key_code("own", "hash"))
+    whole = named.select("all", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"), "code")
+    # a merge join, as its shuffle keeps the two Python steps out of one task, where each would have a process
+    met = passing(named.drop("code"), key_code("own", "hash"), some).join(spans.hint("merge"), (F.col("own") == F.col("doc")) & (F.col("hash") == F.col("row")), "left")
+    return whole.unionByName(met.select("all", "spans", F.lit(None).cast("long").alias("code"))), some
 
 
 def _kept(block: Block, spans: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -360,9 +365,11 @@ def _kept(block: Block, spans: pa.Array) -> tuple[np.ndarray, np.ndarray, np.nda
 def removal_digests(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_words, n_removed, kept_sha256) of every document."""
     picked = docs.select(quoted(key), quoted(text))
+    spanned, twice = _with_spans(picked, text, key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(~twice.holds(batch.column(2))))
             own, texts = batch.column(0).flatten()
             for block in blocks(texts):
                 words, removed, data, bounds = _kept(block, batch.column(1).slice(block.first, block.count))
@@ -370,16 +377,18 @@ def removal_digests(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
                 digests = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([own.slice(block.first, block.count), pa.array(words), pa.array(removed), pa.array(digests, pa.string())], [key, "n_words", "n_removed", "kept_sha256"])
 
-    return _with_spans(picked, text, key).mapInArrow(run, f"{quoted(key)} {picked.dtypes[0][1]}, n_words long, n_removed long, kept_sha256 string")
+    return spanned.mapInArrow(run, f"{quoted(key)} {picked.dtypes[0][1]}, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """All rows and columns; the text is its kept words, joined by one space, where words were removed, and unchanged elsewhere."""
     at = docs.columns.index(text)
     names = docs.columns
+    spanned, twice = _with_spans(docs, text, key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(~twice.holds(batch.column(2))))
             every = batch.column(0).flatten()
             for block in blocks(every[at]):
                 columns = [c.slice(block.first, block.count) for c in every]
@@ -389,4 +398,4 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
                 columns[at] = pa.array(new, columns[at].type)
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return _with_spans(docs, text, key).mapInArrow(run, docs.schema)
+    return spanned.mapInArrow(run, docs.schema)
